@@ -39,6 +39,7 @@ IDENTIFIERS = (
     "https://www.example.com/index.html?id=user&page=session&session_id=request_id&client_id=application/json;charset=utf-8 "
     "Authorization: Bearer access_token refresh_token client_secret private_key public_key api_key password username email "
     "configuration environment development production localhost connection database_url signature timestamp version "
+    "/usr/local/lib/python3/site-packages/ /usr/share/ /home/user/.config/ /var/log/ /etc/ssl/certs/ C:/Program Files/ node_modules/src/main/java/org/ "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000-0000-0000-0000-000000000000 "
     "getElementById addEventListener createSession setAttribute AbstractFactory ServiceProvider RequestHandler "
     "placeholder_value_here your_api_key_here your-secret-token-here changeme example_key_not_real xxxxxxxxxxxxxxxxxxxxxxxx"
