@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathomline.llm import q_bpe, q_chat, q_decontaminate, q_lm, q_quality, q_rules, q_secrets, q_shards
+from fathomline.llm import q_bpe, q_chat, q_decontaminate, q_lm, q_near_dups, q_quality, q_rules, q_secrets, q_shards
 
-MODULES = (q_decontaminate, q_rules, q_shards, q_lm, q_quality, q_secrets, q_bpe, q_chat)
+MODULES = (q_decontaminate, q_rules, q_shards, q_lm, q_near_dups, q_quality, q_secrets, q_bpe, q_chat, q_near_dups)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
