@@ -9,16 +9,14 @@ on average, with a deviation of 3.2; the join finds all pairs of signatures that
 into CHUNKS chunks of 4; by pigeonhole one chunk of such a pair has 26 // 16 = 1 error at most, so
 each chunk is indexed under its four ways to leave one symbol out, and the pair meets in a bucket.
 
-Buckets.  Two members make a pair, up to SMALL make all pairs.  In a larger bucket pairs would
-grow with the square, so every member is compared with the bucket's centre alone.  That loses no
-link: members whose component then differs from the centre's go on in two ways.
-(1) Among themselves: they are indexed again under the bucket and each key of the other chunks, where
-the pigeonhole holds as before (their distance in the others is no larger), level by level.
-(2) With the centre's component: Jaccard distance is a metric, so only members at most twice the
-allowed distance from the centre can be linked to it; they are joined with all members of the
-component in the bucket whose signatures are near enough.
-
-Every pair is confirmed on the full sets.  Links are joined into connected components.
+Buckets.  Up to SMALL members make all pairs.  In a larger bucket pairs would grow with the square,
+so every member is compared with CENTRES centres alone (the least members by fixed hash orders, hence
+mostly the same few documents in all buckets of a group).  That settles a bucket whose members end
+up in one component.  The members of the others, such as documents that share a frequent passage
+only, are joined exactly by prefix filtering: of n shingles, a set similar to another shares one at
+least of its n - ceil(0.8 n) + 1 rarest, and frequent passages are not among the rarest.  Only pairs
+of different components are looked at, so no link between different texts is lost and no group is
+expanded into all its pairs.
 
 Defined results: null and blank texts have empty sets and are linked with nothing; null ids may be
 linked, but a component takes the least id that is not null; rows with equal ids are documents of
@@ -39,8 +37,7 @@ from fathomline.llm.components import components
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 26
 PER_CHUNK = SYMBOLS // CHUNKS
-SMALL = 24
-LEVELS = 4
+SMALL, CENTRES = 8, 4
 BROADCAST_ROWS = 500_000
 MEMO = 400_000
 
@@ -161,79 +158,81 @@ class _Links:
     def __init__(self, docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str, text: str):
         self.docs, self.reps, self.length, self.percent, self.key, self.text = docs, reps, length, percent, key, text
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """a, b, percent similarity of the distinct pairs whose signatures are near enough."""
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """class, set of the wanted classes (distinct rows), from the texts of their representatives."""
+        ids = cut(self.reps.join(classes, "class", "left_semi").select(F.col("id").alias("_id")), "ids")
+        docs = self.docs.join(_maybe_broadcast(ids), self.docs[self.key].eqNullSafe(F.col("_id")), "left_semi")
+        made = full_sets(docs.select(self.text), self.length, self.text).join(classes, "class", "left_semi")
+        return cut(made.dropDuplicates(["class"]), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """a, b: the distinct pairs whose signatures are near enough and whose sets are similar enough."""
         sigs = self.reps.select("class", "sig")
         near = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = near.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
-        # Also those at twice the allowed distance, where the metric is needed.
-        near = cut(near.select("a", "b", _near(F.col("sa"), F.col("sb")).alias("near"), _loose(F.col("sa"), F.col("sb")).alias("loose")).where("near OR loose").drop("loose"), "near")
-        used = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        ids = cut(self.reps.join(used, "class", "left_semi").select(F.col("id").alias("_id")), "ids")
-        docs = self.docs.join(_maybe_broadcast(ids), self.docs[self.key].eqNullSafe(F.col("_id")), "left_semi")
-        sets = cut(full_sets(docs.select(self.text), self.length, self.text).dropDuplicates(["class"]), "sets")
+        near = cut(near.where(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "near")
+        if sets is None:
+            sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("class")).distinct())
         both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         inter = F.size(F.array_intersect("set_a", "set_b"))
-        counted = both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b") - inter).alias("u"))
-        return cut(counted, "confirmed")
-
-
-def _loose(one: Column, other: Column) -> Column:
-    """Whether two signatures may be of sets at twice the allowed distance (60 of 100) by the same margin."""
-    same = F.aggregate(F.zip_with(one, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same >= SYMBOLS - 42
+        union = F.size("set_a") + F.size("set_b") - inter
+        return cut(both.where(inter * 100 >= union * self.percent).select("a", "b"), "links")
+
+
+def bucket_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs a, b, and the members (key, class) of large buckets; keyed: key, class."""
+    orders = [F.struct(F.xxhash64(F.lit(k), "class").alias("h"), F.col("class").alias("c")) for k in range(CENTRES)]
+    centres = F.array(*[F.min(o)["c"] for o in orders])
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), centres.alias("centres"))
+    buckets = cut(buckets.where("n > 1"), "buckets")
+    members = cut(keyed.join(buckets.where("n > 2").select("key", "n", "centres"), "key"), "members")
+    listed = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("class")).alias("c"))
+    inside = listed.select(F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("k"), "c").select(
+        F.get("c", F.col("k")).alias("a"), F.explode(F.slice("c", F.col("k") + 2, F.size("c"))).alias("b")
+    )
+    large = members.where(F.col("n") > SMALL)
+    stars = large.select(F.col("class").alias("a"), F.explode(F.array_distinct("centres")).alias("b"))
+    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(inside).unionByName(stars)
+    return pairs, large.select("key", "class")
+
+
+def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: every pair of sets of different components that may be similar, by prefix filtering; sets: class, set."""
+    labelled = sets.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
+    rows = labelled.select("class", F.explode("set").alias("h"))
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ordered = rows.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    n = F.size("s")
+    kept = n - F.ceil(n * percent / 100).cast("int") + 1
+    prefix = ordered.select("class", n.alias("n"), F.posexplode(F.slice(F.col("s.h"), F.lit(1), kept)).alias("at", "h"))
+    prefix = cut(prefix.join(labelled.select("class", "label"), "class"), "prefixes")
+    mixed = prefix.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h")
+    prefix = cut(prefix.join(mixed, "h", "left_semi"), "prefixes")
+    other = prefix.select("h", *[F.col(c).alias(f"{c}_2") for c in ("class", "n", "at", "label")])
+    # Sizes must allow the similarity, and so must what is left of both sets after the shared shingle.
+    small, big = F.least("n", "n_2"), F.greatest("n", "n_2")
+    most = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) + F.least("at", "at_2")
+    fits = (small * 100 >= big * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
+    return prefix.join(other, "h").where((F.col("class") < F.col("class_2")) & (F.col("label") != F.col("label_2")) & fits).select(
+        F.col("class").alias("a"), F.col("class_2").alias("b")
+    )
 
 
 def link(docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str, text: str) -> DataFrame:
-    """a, b: links between classes."""
-    linked = F.col("i") * 100 >= F.col("u") * percent
+    """a, b: links between classes, enough for their components."""
     check = _Links(docs, reps, length, percent, key, text)
-    own = reps.select("class", chunk_keys(F.col("sig")).alias("keys"))
-    keyed = own.select("class", F.explode("keys").alias("key"))
-    links = None
-    for level in range(LEVELS):
-        buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("n > 1")
-        buckets = cut(buckets, "buckets")
-        members = cut(keyed.join(buckets.where("n > 2").select("key", "n", F.col("low").alias("centre")), "key"), "members")
-        listed = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("class")).alias("c"))
-        inside = listed.select(F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("k"), "c").select(
-            F.get("c", F.col("k")).alias("a"), F.explode(F.slice("c", F.col("k") + 2, F.size("c"))).alias("b")
-        )
-        pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(inside)
-        large = members.where((F.col("n") > SMALL) & (F.col("class") != F.col("centre")))
-        pairs = pairs.unionByName(large.select(F.col("class").alias("a"), F.col("centre").alias("b")))
-        confirmed = check.confirm(pairs)
-        new = confirmed.where(linked).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if large.isEmpty():
-            return links
-        # Members of large buckets that are not in their centre's component.
-        labels = cut(components(links), "labels")
-        with_label = large.join(labels.toDF("class", "label"), "class", "left").join(labels.toDF("centre", "centre_label"), "centre", "left")
-        apart = F.coalesce("label", F.col("class")) != F.coalesce("centre_label", F.col("centre"))
-        strays = cut(with_label.withColumn("apart", apart), "strays")
-        outside = strays.where("apart").select("key", "class", "centre", "centre_label")
-        if outside.isEmpty():
-            return links
-        # (2) strays within twice the allowed distance of the centre, against the centre's component in the bucket
-        j = confirmed.where(F.col("i") * 100 >= F.col("u") * (2 * percent - 100))
-        j = j.unionByName(j.select(F.col("b").alias("a"), F.col("a").alias("b"), "i", "u"))
-        close = outside.join(j.select(F.col("a").alias("class"), F.col("b").alias("centre")), ["class", "centre"])
-        sigs = reps.select("class", "sig")
-        close = close.join(sigs, "class").select("key", F.col("class").alias("a"), F.col("sig").alias("sa"))
-        others = strays.where("NOT apart").select("key", F.col("class").alias("b"))
-        others = others.join(close.select("key").distinct(), "key", "left_semi").join(sigs.toDF("b", "sb"), "b")
-        crossed = close.join(others, "key").where(_near(F.col("sa"), F.col("sb"))).select("a", "b")
-        links = links.unionByName(check.confirm(crossed).where(linked).select("a", "b"))
-        # (1) strays among themselves: the bucket and each key of the other chunks; the level keeps keys apart
-        again = outside.select("key", "class").join(own, "class")
-        chunk = F.floor(F.shiftright("key", 48) / PER_CHUNK)
-        others_of = F.filter("keys", lambda k: F.floor(F.shiftright(k, 48) / PER_CHUNK) != chunk) if level == 0 else F.col("keys")
-        keyed = again.select("class", F.col("key").alias("up"), F.explode(others_of).alias("k")).select("class", F.xxhash64(F.lit(level), "up", "k").alias("key"))
-    # Buckets of strays that are still large after LEVELS refinements agree nearly everywhere: all their pairs.
-    left = cut(keyed.distinct(), "left")
-    rest = left.toDF("a", "key").join(left.toDF("b", "key"), "key").where("a < b").select("a", "b")
-    return links.unionByName(check.confirm(rest).where(linked).select("a", "b"))
+    pairs, large = bucket_pairs(reps.select("class", F.explode(chunk_keys(F.col("sig"))).alias("key")))
+    links = check.confirm(pairs)
+    if large.isEmpty():
+        return links
+    labels = cut(components(links), "labels")
+    named = large.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
+    open_keys = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key")
+    rest = cut(large.join(open_keys, "key", "left_semi").select("class").distinct(), "rest")
+    if rest.isEmpty():
+        return links
+    sets = check.sets(rest)
+    return links.unionByName(check.confirm(rare_pairs(sets, labels, percent), sets))
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
