@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from fathomline.plans import q_tracks
+
+MODULES = (q_tracks,)
+FLAGSHIP = "traj_error_summary"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
