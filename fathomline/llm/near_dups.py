@@ -9,14 +9,16 @@ on average, with a deviation of 3.2; the join finds all pairs of signatures that
 into CHUNKS chunks of 4; by pigeonhole one chunk of such a pair has 26 // 16 = 1 error at most, so
 each chunk is indexed under its four ways to leave one symbol out, and the pair meets in a bucket.
 
-Buckets.  Up to SMALL members make all pairs.  In a larger bucket pairs would grow with the square,
-so every member is compared with CENTRES centres alone (the least members by fixed hash orders, hence
-mostly the same few documents in all buckets of a group).  That settles a bucket whose members end
-up in one component.  The members of the others, such as documents that share a frequent passage
-only, are joined exactly by prefix filtering: of n shingles, a set similar to another shares one at
-least of its n - ceil(0.8 n) + 1 rarest, and frequent passages are not among the rarest.  Only pairs
-of different components are looked at, so no link between different texts is lost and no group is
-expanded into all its pairs.
+Buckets.  Up to SMALL members make all pairs.  In a larger bucket pairs would grow with the square, so
+members are compared with CENTRES centres alone (the least members by a hash order that all buckets
+share, hence mostly the same few documents in all buckets of a group), and only with centres of
+another component than their own.  This is repeated with other centres as long as it finds links:
+each round leaves a fraction of a group of near copies unlinked.  A bucket is settled once its members
+are one component.  The members of the others, such as documents that share a frequent passage only,
+are joined exactly by prefix filtering: of n shingles, a set similar to another shares one at least of
+its n - ceil(0.8 n) + 1 rarest, and frequent passages are not among the rarest.  Only pairs of different
+components are looked at, so no link between different texts is lost and no group is expanded into
+all its pairs.
 
 Defined results: null and blank texts have empty sets and are linked with nothing; null ids may be
 linked, but a component takes the least id that is not null; rows with equal ids are documents of
@@ -37,7 +39,7 @@ from fathomline.llm.components import components
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 26
 PER_CHUNK = SYMBOLS // CHUNKS
-SMALL, CENTRES = 8, 4
+SMALL, CENTRES = 8, 6
 BROADCAST_ROWS = 500_000
 MEMO = 400_000
 
@@ -180,20 +182,29 @@ class _Links:
 
 
 def bucket_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs a, b, and the members (key, class) of large buckets; keyed: key, class."""
-    orders = [F.struct(F.xxhash64(F.lit(k), "class").alias("h"), F.col("class").alias("c")) for k in range(CENTRES)]
-    centres = F.array(*[F.min(o)["c"] for o in orders])
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), centres.alias("centres"))
+    """Candidate pairs a, b of buckets with up to SMALL members, and the members (key, class) of larger ones; keyed: key, class."""
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     buckets = cut(buckets.where("n > 1"), "buckets")
-    members = cut(keyed.join(buckets.where("n > 2").select("key", "n", "centres"), "key"), "members")
+    members = cut(keyed.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
     listed = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("class")).alias("c"))
     inside = listed.select(F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("k"), "c").select(
         F.get("c", F.col("k")).alias("a"), F.explode(F.slice("c", F.col("k") + 2, F.size("c"))).alias("b")
     )
-    large = members.where(F.col("n") > SMALL)
-    stars = large.select(F.col("class").alias("a"), F.explode(F.array_distinct("centres")).alias("b"))
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(inside).unionByName(stars)
-    return pairs, large.select("key", "class")
+    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(inside)
+    return pairs, members.where(F.col("n") > SMALL).select("key", "class")
+
+
+def star_pairs(large: DataFrame, labels: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
+    """Members of unsettled buckets with their centres of other components (a, b), and those members (key, class).
+
+    large: key, class; first: number of the first hash order.
+    """
+    named = large.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
+    orders = [F.min(F.struct(F.xxhash64(F.lit(first + k), "class").alias("h"), F.col("class").alias("c"), F.col("label").alias("l"))) for k in range(CENTRES)]
+    buckets = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.array(*orders).alias("centres"))
+    open_members = cut(named.join(buckets.where("one <> other").select("key", "centres"), "key"), "open")
+    elsewhere = F.array_distinct(F.transform(F.filter("centres", lambda c: c["l"] != F.col("label")), lambda c: c["c"]))
+    return open_members.select(F.col("class").alias("a"), F.explode(elsewhere).alias("b")), open_members.select("key", "class")
 
 
 def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -218,21 +229,29 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def link(docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str, text: str) -> DataFrame:
-    """a, b: links between classes, enough for their components."""
+def linked(docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str, text: str) -> DataFrame:
+    """node, label (least class of the component) of every class that has a link."""
     check = _Links(docs, reps, length, percent, key, text)
     pairs, large = bucket_pairs(reps.select("class", F.explode(chunk_keys(F.col("sig"))).alias("key")))
-    links = check.confirm(pairs)
+    labels = cut(components(check.confirm(pairs)), "labels")
     if large.isEmpty():
-        return links
-    labels = cut(components(links), "labels")
-    named = large.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key")
-    rest = cut(large.join(open_keys, "key", "left_semi").select("class").distinct(), "rest")
-    if rest.isEmpty():
-        return links
-    sets = check.sets(rest)
-    return links.unionByName(check.confirm(rare_pairs(sets, labels, percent), sets))
+        return labels
+    sets = check.sets(large.select("class").distinct())
+
+    def joined(new: DataFrame) -> DataFrame:
+        known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return cut(components(known.unionByName(new)), "labels")
+
+    first = 0
+    while True:
+        stars, large = star_pairs(large, labels, first)
+        new = check.confirm(stars, sets)
+        if new.isEmpty():
+            break
+        labels, first = joined(new), first + CENTRES
+    rest = sets.join(large.select("class").distinct(), "class", "left_semi")
+    new = check.confirm(rare_pairs(rest, labels, percent), sets)
+    return labels if new.isEmpty() else joined(new)
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +261,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, key: st
     one_sig = rows.where("class IS NOT NULL").select("class", "id", "sig")
     reps = classes.join(one_sig, (classes["class"] == one_sig["class"]) & classes["id"].eqNullSafe(one_sig["id"]))
     reps = cut(reps.select(classes["class"], classes["id"], "sig").dropDuplicates(["class"]), "reps")
-    labels = components(link(docs, reps, length, percent, key, text))
+    labels = linked(docs, reps, length, percent, key, text)
     named = classes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = named.select("class", "label").join(least, "label").select("class", "component_id")
