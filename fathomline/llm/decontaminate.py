@@ -35,8 +35,7 @@ BROADCAST_ROWS = 500_000
 
 
 def plain_words(text: Column) -> Column:
-    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _shingle_set(words: Column, length: Column | int) -> Column:
@@ -47,6 +46,13 @@ def _shingle_set(words: Column, length: Column | int) -> Column:
     return F.array_distinct(F.when((last >= 0) & (length > 0), made).otherwise(F.array().cast("array<string>")))
 
 
+def _hashes(words: Column, length: int) -> Column:
+    """Hash of every shingle, in order."""
+    last = F.size(words) - length
+    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(length)]))
+    return F.when(last >= 0, made).otherwise(F.array().cast("array<bigint>"))
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows allow it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -57,7 +63,10 @@ def sketch_items(items: DataFrame, item: str = "item_id", text: str = "text") ->
     cut_up = items.select(F.col(item).alias("item"), plain_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     sets = cut_up.withColumn("length", F.least(F.size("w"), F.lit(SHINGLE))).withColumn("shingles", _shingle_set(F.col("w"), F.col("length")))
     counted = sets.withColumn("n", F.size("shingles")).withColumn("need", F.ceil(F.col("n") * CONTAINED / 100).cast("int"))
-    hashes = F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s)))
+    own = F.lit(None).cast("array<bigint>")
+    for length in range(1, SHINGLE + 1):
+        own = F.when(F.col("length") == length, _hashes(F.col("w"), length)).otherwise(own)
+    hashes = F.sort_array(F.array_distinct(own))
     return counted.select(
         F.monotonically_increasing_id().alias("number"),
         "item",
@@ -72,10 +81,9 @@ def sketch_items(items: DataFrame, item: str = "item_id", text: str = "text") ->
 
 def _hits(docs: DataFrame, index: DataFrame, length: int, most: int, rows: int) -> DataFrame:
     """doc, number: lookups of the documents' shingles of one length; most: the largest hash looked up."""
-    long_enough = docs.where(F.size("w") >= length)
-    at = long_enough.select("doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("i"))
-    joined = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(length)])
-    hashed = at.select("doc", F.size("w").alias("doc_words"), F.xxhash64(joined).alias("h")).where(F.col("h") <= most)
+    # explode_outer: for explode Spark would add a filter that computes the hashes a second time
+    low = F.filter(_hashes(F.col("w"), length), lambda h: h <= most)
+    hashed = docs.select("doc", F.size("w").alias("doc_words"), F.explode_outer(low).alias("h"))
     own = index.where(F.col("length") == length)
     found = hashed.join(sized(own, rows), "h").where(F.col("doc_words") - length + 1 >= F.col("need"))
     return found.select("doc", "number").distinct()
@@ -104,9 +112,10 @@ def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     exact = texts.join(sized(sketched.select("number", "item", "length", "shingles", "n", "need"), rows), "number")
     exact = exact.withColumn("w", plain_words(F.col("body")))
     both = F.size(F.array_intersect("shingles", _shingle_set(F.col("w"), F.col("length"))))
-    verified = exact.select("doc", "number", "item", "n", "need", both.alias("n_found")).where(F.col("n_found") >= F.col("need"))
-    best = verified.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_found") / F.col("n")).alias("share"), "n", "n_found")).alias("b"))
-    return best.select(
+    verified = exact.select("doc", "number", "item", "n", "need", both.alias("n_found"))
+    # The filter comes after the aggregation: pushed below it, Spark would split the text anew for every shingle.
+    best = verified.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_found") / F.col("n")).alias("share"), "n", "n_found", "need")).alias("b"))
+    return best.where("b.n_found >= b.need").select(
         F.col("doc").alias(key),
         F.col("item").alias(item),
         F.col("b.n").cast("long").alias("n_shingles"),
