@@ -78,7 +78,17 @@ def t21_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("seq", F.when(F.col("ref_t").isNotNull(), age).alias("age"), F.when(F.col("ref_t").isNotNull(), vision.expired(age, F.lit(DAY))).alias("expired")), 3)
 
 
-QUERIES = {f.__name__: f for f in (t5_fusion_filter, t10_sources, w8_attitude, g18_start_attitude, k9_json_rows, k1_csv_rows, t21_staleness)}
+def j12_anchor_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchor of every fix, with gates scaled to the driver's events."""
+    from fathomline.operators import anchors
+
+    v = _visual(spark, sf_dir).join(samples(spark, sf_dir, "click").select("seq", "k"), "seq")
+    given = v.select("vehicle_id", "t", "seq", "east", "north", (F.col("k") * 2).alias("used"), (F.col("k") / 100).alias("inlier_ratio"), (F.col("k") % 8).cast("double").alias("reproj"))
+    gates = anchors.Gates(max_age=DAY, innovation=5000.0)
+    return rounded(anchors.assign(given, samples(spark, sf_dir, "view").select("vehicle_id", "t", "seq"), gates).select("vehicle_id", "seq", "anchor_seq", "age", "rejected", "reason"))
+
+
+QUERIES = {f.__name__: f for f in (j12_anchor_assignment, t5_fusion_filter, t10_sources, w8_attitude, g18_start_attitude, k9_json_rows, k1_csv_rows, t21_staleness)}
 ORACLES = {
     "g18_start_attitude": f"WITH {SAMPLES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t, seq) AS i FROM samples) SELECT vehicle_id, round(avg(fmod(value, 3) / 10), 6) + 0.0 AS ax, count(*) AS n FROM f WHERE i <= 20 GROUP BY 1",
     "k9_json_rows": f"WITH {SAMPLES_SQL} SELECT seq, '{{\"vehicle_id\":' || vehicle_id || ',\"seq\":' || seq || ',\"heading\":' || CASE WHEN k % 2 = 0 THEN k::VARCHAR ELSE 'null' END || ',\"pred_available\":' || CASE WHEN k > 50 THEN 'true' ELSE 'false' END || '}}' AS json FROM samples WHERE kind = 'view'",
