@@ -12,8 +12,8 @@ each chunk is indexed under its four ways to leave one symbol out, and the pair
 Buckets.  Up to SMALL members make all pairs.  In a larger bucket pairs would grow with the square, so
 members are compared with CENTRES centres alone (the least members by a hash order that all buckets
 share, hence mostly the same few documents in all buckets of a group), and only with centres of
-another component than their own.  This is repeated with other centres as long as it finds links:
-each round leaves a fraction of a group of near copies unlinked.  A bucket is settled once its members
+another component than their own.  This is repeated with other centres while it finds links for more than
+one in FEW members: each round leaves a fraction of a group of near copies unlinked.  A bucket is settled once its members
 are one component.  The members of the others, such as documents that share a frequent passage only,
 are joined exactly by prefix filtering: of n shingles, a set similar to another shares one at least of
 its n - ceil(0.8 n) + 1 rarest, and frequent passages are not among the rarest.  Only pairs of different
@@ -40,6 +40,10 @@ from fathomline.llm.components import components
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 26
 PER_CHUNK = SYMBOLS // CHUNKS
 SMALL, CENTRES = 8, 6
+#: Star rounds end once they find fewer links than this fraction of the members; the prefix join has the rest.
+FEW = 50
+#: Buckets in which a member must meet a centre to be compared with it.
+MEETINGS = 4
 BROADCAST_ROWS = 500_000
 MEMO = 400_000
 
@@ -204,7 +208,9 @@ def star_pairs(large: DataFrame, labels: DataFrame, first: int) -> tuple[DataFra
     buckets = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.array(*orders).alias("centres"))
     open_members = cut(named.join(buckets.where("one <> other").select("key", "centres"), "key"), "open")
     elsewhere = F.array_distinct(F.transform(F.filter("centres", lambda c: c["l"] != F.col("label")), lambda c: c["c"]))
-    return open_members.select(F.col("class").alias("a"), F.explode(elsewhere).alias("b")), open_members.select("key", "class")
+    met = open_members.select(F.col("class").alias("a"), F.explode(elsewhere).alias("b")).groupBy("a", "b").count()
+    # Similar documents share many buckets, and so their centres; those that share a passage only meet in few.
+    return met.where(F.col("count") >= MEETINGS).select("a", "b"), open_members.select("key", "class")
 
 
 def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -215,15 +221,17 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     ordered = rows.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     n = F.size("s")
     kept = n - F.ceil(n * percent / 100).cast("int") + 1
-    prefix = ordered.select("class", n.alias("n"), F.posexplode(F.slice(F.col("s.h"), F.lit(1), kept)).alias("at", "h"))
+    sliced = ordered.select("class", n.alias("n"), F.slice(F.col("s.h"), F.lit(1), kept).alias("rare"))
+    prefix = sliced.select("class", "n", "rare", F.posexplode("rare").alias("at", "h"))
     prefix = cut(prefix.join(labelled.select("class", "label"), "class"), "prefixes")
     mixed = prefix.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h")
     prefix = cut(prefix.join(mixed, "h", "left_semi"), "prefixes")
-    other = prefix.select("h", *[F.col(c).alias(f"{c}_2") for c in ("class", "n", "at", "label")])
-    # Sizes must allow the similarity, and so must what is left of both sets after the shared shingle.
+    other = prefix.select("h", *[F.col(c).alias(f"{c}_2") for c in ("class", "n", "rare", "at", "label")])
+    # A pair counts at its first shared shingle only; sizes and what is left of both sets from there must allow the similarity.
     small, big = F.least("n", "n_2"), F.greatest("n", "n_2")
-    most = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) + F.least("at", "at_2")
-    fits = (small * 100 >= big * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
+    most = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    first = F.get(F.array_intersect("rare", "rare_2"), F.lit(0)) == F.col("h")
+    fits = first & (small * 100 >= big * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
     return prefix.join(other, "h").where((F.col("class") < F.col("class_2")) & (F.col("label") != F.col("label_2")) & fits).select(
         F.col("class").alias("a"), F.col("class_2").alias("b")
     )
@@ -242,13 +250,15 @@ def linked(docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str
         known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         return cut(components(known.unionByName(new)), "labels")
 
-    first = 0
+    first, few = 0, sets.count() // FEW
     while True:
         stars, large = star_pairs(large, labels, first)
         new = check.confirm(stars, sets)
-        if new.isEmpty():
+        found = new.count()
+        if found:
+            labels, first = joined(new), first + CENTRES
+        if found <= few:
             break
-        labels, first = joined(new), first + CENTRES
     rest = sets.join(large.select("class").distinct(), "class", "left_semi")
     new = check.confirm(rare_pairs(rest, labels, percent), sets)
     return labels if new.isEmpty() else joined(new)
