@@ -89,3 +89,12 @@ def latest(samples: DataFrame, refs: DataFrame, fields: list[str], tolerance: fl
     near = near.withColumn("_c", chosen)
     ok = F.col("_c").isNotNull() & (F.lit(True) if tolerance is None else at - F.col("_c.t") <= tolerance)
     return near.withColumns({f"{prefix}{f}": F.when(ok, F.col(f"_c.{f}")) for f in ["t", *fields]}).drop("before", "after", "_c")
+
+
+def crop_centre(frames: DataFrame, fused: DataFrame, refs: DataFrame, fresh: float, held: float, by: str = "vehicle_id") -> DataFrame:
+    """frames with lon, lat and centre: "recent" or "held" (last fused position, at most fresh or held seconds old), "reference" (interpolated), or null."""
+    last = latest(frames, fused, ["lon", "lat"], held, prefix="fused_", by=by)
+    met = interpolate(last, refs, ["lon", "lat"], "closed", by=by)
+    age = F.col("t") - F.col("fused_t")
+    centre = F.when(age <= fresh, "recent").when(age <= held, "held").when(F.col("ref_lon").isNotNull(), "reference")
+    return met.withColumns({"centre": centre, "lon": F.coalesce("fused_lon", "ref_lon"), "lat": F.coalesce("fused_lat", "ref_lat")})

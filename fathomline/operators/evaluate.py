@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.geo import sphere_error
+from fathomline.functions.geo import sphere_error, sphere_inverse
 from fathomline.operators.asof import interpolate
 
 
@@ -69,3 +69,44 @@ def aligned(series_errors: DataFrame, offsets: DataFrame, seconds: float, by: st
     return late.withColumns({"east": F.col("east") - F.col("east_offset"), "north": F.col("north") - F.col("north_offset")}).withColumn(
         "horizontal", F.hypot("east", "north")
     )
+
+
+def series_errors(series: dict[str, DataFrame], refs: DataFrame, by: str = "vehicle_id") -> DataFrame:
+    """series (its name), east, north and horizontal error of several series, all within the interval that they share with refs.
+
+    The series are one table and meet the references in one join.
+    """
+    interval = overlap(*series.values(), refs, by=by)
+    united = None
+    for name, rows in series.items():
+        named = rows.select(by, "t", "seq", "lon", "lat", F.lit(name).alias("series"))
+        united = named if united is None else united.unionByName(named)
+    met = interpolate(clip(united, interval, by), clip(refs.select(by, "t", "seq", "lon", "lat"), interval, by), ["lon", "lat"], by=by)
+    east, north = sphere_error(F.col("lon"), F.col("lat"), F.col("ref_lon"), F.col("ref_lat"))
+    return met.withColumns({"east": east, "north": north, "since": F.col("t") - F.col("start")}).withColumn("horizontal", F.hypot("east", "north"))
+
+
+def corrected_path(path: DataFrame, vision: DataFrame, refs: DataFrame, seconds: float, by: str = "vehicle_id") -> DataFrame:
+    """by, t, seq, lon and lat of path from `seconds` after the shared start on, less the mean error of vision before that.
+
+    References outside the shared interval count, and the first and last hold beyond the ends.
+    """
+    interval = overlap(vision, path, refs, by=by)
+    pick = lambda rows, name: rows.select(by, "t", "seq", "lon", "lat", F.lit(name).alias("series"))
+    both = clip(pick(vision, "vision").unionByName(pick(path, "path")), interval, by)
+    met = interpolate(both, refs, ["lon", "lat"], "clamped", by=by).withColumn("since", F.col("t") - F.col("start"))
+    east, north = sphere_error(F.col("lon"), F.col("lat"), F.col("ref_lon"), F.col("ref_lat"))
+    moved = met.withColumns({"east": east, "north": north})
+    offsets = alignment(moved.where("series = 'vision'"), seconds, by)
+    late = aligned(moved.where("series = 'path'"), offsets, seconds, by)
+    lon, lat = sphere_inverse(F.col("ref_lon"), F.col("ref_lat"), F.col("east"), F.col("north"))
+    return late.select(by, "t", "seq", lon.alias("lon"), lat.alias("lat"))
+
+
+def verdict(sources: DataFrame) -> DataFrame:
+    """One row: n_rows, updates, gate_failed, failed_percent (null without visual rows) and verdict; sources: source, n."""
+    counted = lambda source: F.coalesce(F.sum(F.when(F.col("source") == source, F.col("n"))), F.lit(0))
+    sums = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), counted("visual_update").alias("updates"), counted("visual_reject_nis").alias("gate_failed"))
+    percent = F.try_divide(100.0 * F.col("gate_failed"), F.col("updates") + F.col("gate_failed"))
+    text = F.when(F.col("updates") > 0, "usable").when(F.col("gate_failed") > 0, "all_gates_failed").otherwise("no_visual_update")
+    return sums.withColumns({"failed_percent": percent, "verdict": text})
