@@ -61,6 +61,22 @@ def test_em_tells_junk_from_prose(spark):
     assert kept == {i for i, _ in good}
 
 
+def test_one_weak_accusation_is_weighed(spark):
+    good = [(k, prose(k, 200)) for k in range(80)]
+    doubled = [(200, prose(200, 190) + "\n" + "\n".join(["one line"] * 6))]  # some repeated lines, all else good
+    loud = lambda k: "\n".join([prose(k, 150).upper()] + ["#### !"] * 9 + ["LINE", "LINE"] * 5)
+    shown = {r["doc_id"]: r for r in rules.judge(documents(spark, good + doubled)).collect()}
+    assert shown[200]["dup_lines"] < 0 and shown[200]["upper"] == shown[200]["symbols"] == 1 and shown[200]["kept"]
+    names = list(rules.votes())
+    clean = dict.fromkeys(names, 1)
+    votes = clean | {"dup_lines": -2}
+    row = spark.createDataFrame([tuple(votes[r] for r in names)], ", ".join(f"{r} int" for r in names))
+    p = lambda patterns: row.select(rules.posterior(rules.estimate(patterns, names)).alias("p")).first()["p"]
+    # The same votes, after tables in which repeated lines come with good texts or with repeated words.
+    assert p([(clean, 900), (votes, 10)]) >= rules.KEEP_AT > p([(clean, 900), (votes, 10), (votes | {"repeats": -2}, 400)])
+    assert not {r["doc_id"] for r in rules.judge(documents(spark, good + [(300 + k, loud(k)) for k in range(9)])).where("kept").collect()} & set(range(300, 309))
+
+
 @pytest.mark.parametrize("n", [0, 1, 39, 40, 1003])
 def test_shards(spark, n):
     docs = documents(spark, [(k % 700, f"text {k % 50}") for k in range(n)] + ([(None, None)] if n > 40 else []))
