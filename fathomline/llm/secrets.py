@@ -2,10 +2,11 @@ r"""Secret scans: fixed patterns, and zstandard novelty for what they miss.
 
 The patterns find assignments, access keys and hex runs.  Beyond them, a candidate is a run of 20 or
 more key-like characters with digits and letters that stands within CONTEXT characters after a
-sensitive word.  Its novelty is what it adds to the compressed size of its surroundings, with a
+sensitive word, or a whole line of them that follows such a run's line.  The body of a private key from
+BEGIN to END (without END, its lines of key characters) is one candidate.  A candidate's novelty is what it adds to the compressed size of its surroundings, with a
 dictionary of usual identifiers primed: bytes added over bytes of the candidate.  Names, paths
 and repeated values are in the surroundings or the dictionary already and add little; a random key
-adds nearly all of its bytes.
+adds nearly all of its bytes.  A private key's body is compressed by itself: a second copy is as secret.
 
 Spans are code points, end exclusive, of the whole match.  Defined results: a null text is empty;
 repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -27,8 +28,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SENSITIVE = re.compile(
-    r"password|passwd|passphrase|secret|token|api_?key|access_?key|private_?key|auth|bearer|credential|signature|client_?id|session_?key", re.ASCII | re.IGNORECASE
+    r"password|passwd|passphrase|secret|token|(?:api|access|private|session)[-_\x20]?key|auth|bearer|credential|signature|client[-_\x20]?id", re.ASCII | re.IGNORECASE
 )
+BREAK = r"(?:\r?\n|\r|\\r\\n|\\n)"
+#: The next line, if it holds one run of key-like characters and nothing else but quotes and joints.
+NEXT_LINE = re.compile(rf"""["'+,;\x20\t]*{BREAK}["'\x20\t]*([A-Za-z0-9+/_=-]{{4,}})(?=["'+,;\x20\t]*(?:{BREAK}|$))""")
+KEY_MARK = re.compile(r"-{4,5}\x20?(BEGIN|END)\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY(?:\x20BLOCK)?\x20?-{4,5}")
+KEY_LINES = re.compile(r"(?:(?:\s|\\[rn]|[\"'])*[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[rn]|[\"'])+[A-Za-z0-9+/]+={1,2})?")
+KEY_EDGE = re.compile(r"(?:\s|\\[rn]|[\"',;])+")
 NEEDED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Characters before a candidate in which a sensitive word makes it one; and the surroundings that are compressed with it.
 CONTEXT = 64
@@ -73,18 +80,61 @@ class Novelty:
         around, own = (before + "\n" + after).encode("utf-8", "replace"), candidate.encode()
         return (len(self.compress(around + b"\n" + own)) - len(self.compress(around))) / len(own)
 
-    def spans(self, text: str, known: list[Span]) -> list[Span]:
+    def private_keys(self, text: str) -> list[Span]:
+        """Bodies of private keys between their marks."""
         found: list[Span] = []
-        for m in CANDIDATE.finditer(text):
-            value, start, end = m[0], m.start(), m.end()
-            if not DIGIT.search(value) or not LETTER.search(value) or any(s < end and start < e for s, _, e in known):
-                continue
-            if not SENSITIVE.search(text, max(0, start - CONTEXT), start):
+        marks = list(KEY_MARK.finditer(text)) if "PRIVATE KEY" in text else []
+        for m, after in zip(marks, [*marks[1:], None], strict=False):
+            if m[1] == "END":
                 continue
-            if self.share(text[max(0, start - BEFORE) : start], value, text[end : end + AFTER]) >= NOVELTY:
+            ended = after is not None and after[1] == "END"
+            start, end = m.end(), after.start() if ended else KEY_LINES.match(text, m.end()).end()
+            if edge := KEY_EDGE.match(text, start, end):
+                start = edge.end()
+            while end > start and (text[end - 1].isspace() or text[end - 2 : end] in {"\\n", "\\r"}):
+                end -= 1 if text[end - 1].isspace() else 2
+            value = KEY_EDGE.sub("", text[start:end])
+            if len(value) >= 20 and self.share("", value, "") >= NOVELTY:
                 found.append((start, 3, end))
         return found
 
+    def spans(self, text: str, known: list[Span]) -> list[Span]:
+        found = self.private_keys(text)
+        known = known + found
+
+        def new(start: int, end: int) -> bool:
+            if any(s < end and start < e for s, _, e in known):
+                return False
+            return self.share(text[max(0, start - BEFORE) : start], text[start:end], text[end : end + AFTER]) >= NOVELTY
+
+        def mixed(value: str) -> bool:
+            return bool(DIGIT.search(value) and LETTER.search(value))
+
+        at = 0
+        while m := CANDIDATE.search(text, at):
+            start, at = m.start(), m.end()
+            sensitive = SENSITIVE.search(text, max(0, start - CONTEXT), start)
+            # name=value is one run: the name is its context.
+            name = m[0].find("=") + 1
+            if name and len(m[0]) - name >= 20 and SENSITIVE.search(text, start, start + name):
+                sensitive, start = True, start + name
+            if not sensitive or not mixed(text[start:at]):
+                continue
+            width, kept = at - start, new(start, at)
+            if kept:
+                found.append((start, 3, at))
+            while line := NEXT_LINE.match(text, at):
+                value, short = line[1], len(line[1]) < 20
+                # The short last line of a secret, not a word of prose.
+                if not (mixed(value) or (short and value.endswith("="))) or (short and not (kept and len(value) < width)):
+                    break
+                at, width, kept = line.end(1), len(value), new(line.start(1), line.end(1))
+                if kept:
+                    found.append((line.start(1), 3, at))
+                if short:
+                    break
+        return found
+
 
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
