@@ -3,8 +3,8 @@ r"""Quality classifier: perplexity under an interpolated modified Kneser-Ney tri
 Model.  Words `[^\x20\x09-\x0D]+` become one of 256 ids: the most frequent words of trusted text have
 ids of their own; any other word is known by its shape (case, length, digits, symbols, trailing
 punctuation) or as a repetition of the word before it.  The key space of trigrams, 2**24, bounds the
-model whatever the corpus.  Trusted text is a bounded sample of the labelled good documents
-(TRUSTED_DOCUMENTS, chosen by hash).  Its trigram counts stay in Spark: counts of counts give the
+model whatever the corpus.  It is fitted on a sample of the labelled good documents, about
+TRUSTED_DOCUMENTS of them chosen by hash: languages with few give all, the others equally many.  Its trigram counts stay in Spark: counts of counts give the
 discounts of each order, and joins of the count tables, sharded by context, give the discounted
 probability of every seen n-gram and the back-off weight of every context.
 
@@ -12,8 +12,10 @@ Scoring.  The joined tables (at most 2**24 rows, in practice some hundred thousa
 worker, which looks up a whole document at once.  A join of every document's n-grams by shuffle would
 move several times the input.  Perplexities are drawn towards the trusted mean of the language by
 PRIOR_TOKENS tokens, so that a short text isn't judged by a few words.  A document is rejected if its
-perplexity is over a quantile of its language's trusted documents, with a margin; languages without
-TRUSTED_LEAST trusted documents use the quantile of all.
+perplexity is over a quantile of its language's trusted documents, with a margin; languages with fewer
+than TRUSTED_LEAST trusted documents in the whole table use the quantile of all.  Means and quantiles are over
+all trusted documents, fitted or not: all documents are scored, and only ids and scores are joined
+with the labels and counted in bins of log10 perplexity.
 
 Defined results: a null or blank text has the end mark alone and is kept; a null language is a
 language like any other; labels that contradict each other count as trusted only if all say good;
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import cut
+from fathomline.llm.decontaminate import sized
 
 TRUSTED_DOCUMENTS = 20_000
 VOCABULARY = 190
@@ -44,6 +47,8 @@ FIRST_SHAPE, FIRST_WORD = 4, 64
 QUANTILE, MARGIN = 0.995, 1.25
 TRUSTED_LEAST = 100
 PRIOR_TOKENS = 20
+#: Bins of log10 perplexity per unit; a limit is the upper edge of its bin.
+BINS = 10_000
 MEMO = 500_000
 
 _EDGE = re.compile(r"[.,;:!?]+$")
@@ -105,10 +110,27 @@ def _body(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCUMENTS) -> DataFrame:
-    """At most `most` doc_ids that every label calls good, chosen by hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_ids that every label calls good."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id")
+
+
+def fitted_ids(trusted: DataFrame, most: int | None = None) -> DataFrame:
+    """About `most` of trusted (doc_id, lang) by hash, at most equally many of every language."""
+    left = most or TRUSTED_DOCUMENTS
+    counts = cut(trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # Distinct counts are few: their sum is at most the number of documents.
+    sizes = [(r["n"], r["languages"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("languages")).orderBy("n").collect()]
+    languages, share = sum(k for _, k in sizes), 1.0
+    for n, k in sizes:
+        share = left / languages
+        if n > share:
+            break
+        left, languages, share = left - n * k, languages - k, float(n)
+    rates = counts.select(F.col("lang").alias("_lang"), (F.lit(share) / F.col("n")).alias("_rate"))
+    rated = trusted.join(sized(rates, sum(k for _, k in sizes)), F.col("lang").eqNullSafe(F.col("_lang")))
+    return rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_rate") * (1 << 30)).select("doc_id").distinct()
 
 
 def vocabulary(trusted: DataFrame, text: str = "text") -> list[bytes]:
@@ -216,31 +238,38 @@ def _shrunk(mean: Column) -> Column:
     return (-F.col("kn.log10") + PRIOR_TOKENS * mean) / (F.col("kn.n_tokens") + PRIOR_TOKENS)
 
 
+def _limit(known: DataFrame, by: list[str]) -> DataFrame:
+    """by, mean, docs and limit (the quantile) of trusted scores."""
+    means = known.groupBy(*by).agg((-F.sum("kn.log10") / F.sum("kn.n_tokens")).alias("mean"), F.count(F.lit(1)).alias("docs"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    named = means.select(*[F.col(c).alias(f"_{c}") for c in by], "mean", "docs")
+    named = cut(named, "means")
+    rows = known.join(sized(named, named.count()), same) if by else known.crossJoin(F.broadcast(named))  # without by: one row
+    binned = rows.groupBy(*by, "mean", "docs", F.ceil(_shrunk(F.col("mean")) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = binned.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("bin")))  # bins bound a language's rows
+    return upto.where(F.col("upto") >= F.lit(QUANTILE) * F.col("docs")).groupBy(*by, "mean", "docs").agg((F.min("bin") / BINS).alias("limit"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with n_tokens, perplexity, limit and kept (names prefixed by kn_)."""
-    wanted = cut(trusted_ids(labels), "trusted")
+    good = cut(trusted_ids(labels), "trusted")
+    good = sized(good, good.count())
+    named = docs.select("doc_id", F.col(lang).alias("lang")).join(good, "doc_id", "left_semi")
+    wanted = cut(fitted_ids(named), "fitted")
     trusted = docs.join(F.broadcast(wanted), "doc_id", "left_semi")  # TRUSTED_DOCUMENTS bounds it
     vocab = vocabulary(trusted, text)
     trigrams = cut(trigram_counts(trusted, vocab, text), "trigrams")
     model = Model(vocab, trigrams)
-    known = cut(with_log10(trusted.select(text, F.col(lang).alias("lang")), model, text).select("lang", "kn"), "trusted-scores")
-    total = known.agg(F.sum("kn.log10").alias("s"), F.sum("kn.n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).first()
-    mean_all = -total["s"] / total["n"] if total["n"] else 0.0
-    own = Window.partitionBy("lang")  # at most TRUSTED_DOCUMENTS rows in all
-    rows = known.withColumns({"mean": -F.sum("kn.log10").over(own) / F.sum("kn.n_tokens").over(own), "docs": F.count(F.lit(1)).over(own)})
-    limits = rows.where(F.col("docs") >= TRUSTED_LEAST).groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile(_shrunk(F.col("mean")), QUANTILE).alias("limit")).collect()
-    overall = known.agg(F.percentile(_shrunk(F.lit(mean_all)), QUANTILE).alias("limit")).first()["limit"]
-
-    def pick(field: str, default: float | None) -> Column:
-        out = F.lit(default).cast("double")
-        for r in limits:
-            out = F.when(F.col(lang).eqNullSafe(F.lit(r["lang"])), r[field]).otherwise(out)
-        return out
-
-    scored = with_log10(docs, model, text)
-    log_limit = pick("limit", overall)
-    scored = scored.withColumns({"kn_log10": _shrunk(pick("mean", mean_all)), "kn_limit": log_limit * MARGIN})
+    # Texts don't move: all are scored, and the scores are joined with the trusted ids.
+    scores = with_log10(docs.select("doc_id", text, F.col(lang).alias("lang")), model, text).select("doc_id", "lang", "kn")
+    known = cut(cut(scores, "scores").join(good, "doc_id", "left_semi").select("lang", "kn"), "trusted-scores")
+    overall = _limit(known, []).first()
+    mean_all, limit_all = (overall["mean"], overall["limit"]) if overall else (0.0, None)
+    limits = cut(_limit(known, ["lang"]).where(F.col("docs") >= TRUSTED_LEAST).select(F.col("lang").alias("_lang"), F.col("mean").alias("_mean"), F.col("limit").alias("_limit")), "limits")
+    scored = with_log10(docs, model, text).join(sized(limits, limits.count()), F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    log_limit = F.coalesce("_limit", F.lit(limit_all).cast("double"))
+    scored = scored.withColumns({"kn_log10": _shrunk(F.coalesce("_mean", F.lit(mean_all))), "kn_limit": log_limit * MARGIN})
     kept = F.coalesce(F.col("kn_log10") <= F.col("kn_limit"), F.lit(True))
     return scored.withColumns(
         {"kn_tokens": F.col("kn.n_tokens"), "kn_perplexity": F.pow(F.lit(10.0), -F.col("kn.log10") / F.col("kn.n_tokens")), "kn_kept": kept}
-    ).drop("kn")
+    ).drop("kn", "_lang", "_mean", "_limit")

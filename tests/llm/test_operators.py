@@ -253,6 +253,21 @@ def test_quality_classifier(spark):
     assert kneser_ney.classify(documents(spark, []), labels).count() == 0
 
 
+def test_limits_cover_all_trusted_documents(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TRUSTED_DOCUMENTS", 60)
+    rows = [(k, prose(k, 60), "aa") for k in range(400)] + [(1000 + k, " ".join(w[::-1] for w in prose(k, 60).split()), "bb") for k in range(110)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id bigint, quality int, toxic int")
+    fitted = [r["doc_id"] for r in kneser_ney.fitted_ids(docs.select("doc_id", "lang")).collect()]
+    assert 15 <= sum(i < 1000 for i in fitted) <= 45 and 15 <= sum(i >= 1000 for i in fitted) <= 45
+    out = kneser_ney.classify(docs, labels).collect()
+    for name in ("aa", "bb"):
+        # Its own limit, over all its documents: 60 fitted ones are fewer than TRUSTED_LEAST.
+        logs = sorted(r["kn_log10"] for r in out if r["lang"] == name)
+        (limit,) = {r["kn_limit"] for r in out if r["lang"] == name}
+        assert limit == pytest.approx(logs[math.ceil(0.995 * len(logs)) - 1] * 1.25, abs=2e-4)
+
+
 def test_contained_items(spark):
     rng = random.Random(2)
     items = [(k, prose(1000 + k, rng.randrange(6, 60))) for k in range(20)] + [(50, "tiny item"), (51, None), (52, "..."), (None, prose(2000, 30))]
