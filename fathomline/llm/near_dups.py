@@ -9,16 +9,18 @@ on average, with a deviation of 3.2; the join finds all pairs of signatures that
 into CHUNKS chunks of 4; by pigeonhole one chunk of such a pair has 26 // 16 = 1 error at most, so
 each chunk is indexed under its four ways to leave one symbol out, and the pair meets in a bucket.
 
-Buckets.  Up to SMALL members make all pairs.  In a larger bucket pairs would grow with the square, so
-members are compared with CENTRES centres alone (the least members by a hash order that all buckets
-share, hence mostly the same few documents in all buckets of a group), and only with centres of
-another component than their own.  This is repeated with other centres while it finds links for more than
-one in FEW members: each round leaves a fraction of a group of near copies unlinked.  A bucket is settled once its members
-are one component.  The members of the others, such as documents that share a frequent passage only,
+Links.  Exact copies are one class, so a bucket holds distinct texts; still it may hold a third of all.
+Pairs are never listed within a group.  In a round every bucket names centres, its least members by
+hash orders that all buckets share, and every member proposes itself to the nearest centre of another
+component in all its buckets, if it is within the signature distance: one proposal a member.
+Proposals are confirmed on full sets, components are contracted, and buckets that are one component
+leave.  The first round takes all buckets.  Then buckets of up to SMALL members make all near pairs of
+different components.  Larger ones go on in rounds with other centres as long as more than one proposal
+in FEW is a link.  What members are left unsettled, such as documents that share a frequent passage only,
 are joined exactly by prefix filtering: of n shingles, a set similar to another shares one at least of
 its n - ceil(0.8 n) + 1 rarest, and frequent passages are not among the rarest.  Only pairs of different
-components are looked at, so no link between different texts is lost and no group is expanded into
-all its pairs.
+components are looked at, and they are confirmed on full sets alone, so no link between different texts
+is lost and no group is expanded into all its pairs.
 
 Defined results: null and blank texts have empty sets and are linked with nothing; null ids may be
 linked, but a component takes the least id that is not null; rows with equal ids are documents of
@@ -39,11 +41,9 @@ from fathomline.llm.components import components
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 26
 PER_CHUNK = SYMBOLS // CHUNKS
-SMALL, CENTRES = 8, 6
-#: Star rounds end once they find fewer links than this fraction of the members; the prefix join has the rest.
-FEW = 50
-#: Buckets in which a member must meet a centre to be compared with it.
-MEETINGS = 4
+SMALL = 8
+#: Centres of a larger bucket in a round.  Rounds end once one proposal or less in FEW is a link; the prefix join has the rest.
+CENTRES, FEW = 4, 20
 BROADCAST_ROWS = 500_000
 MEMO = 400_000
 
@@ -86,7 +86,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 4096):
         least = np.minimum(least, ((shingles[None, k : k + 4096] ^ _XOR) * _MUL).min(1))
-    return (_mixed(least) & np.uint64(0xFFFF)).astype(np.int32)
+    return (_mixed(least) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
 
 
 def _class_of(shingles: np.ndarray) -> int:
@@ -112,12 +112,12 @@ def sketch(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
                 classes.append(_class_of(s) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int16()))],
                 names=["id", "n", "class", "sig"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), _body(text).alias("t")).mapInArrow(work, f"id {kind}, n bigint, class bigint, sig array<int>")
+    return docs.select(F.col(key).alias("id"), _body(text).alias("t")).mapInArrow(work, f"id {kind}, n bigint, class bigint, sig array<smallint>")
 
 
 def full_sets(docs: DataFrame, length: int, text: str) -> DataFrame:
@@ -149,9 +149,9 @@ def chunk_keys(sig: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(CHUNKS * PER_CHUNK - 1)), key)
 
 
-def _near(one: Column, other: Column) -> Column:
-    same = F.aggregate(F.zip_with(one, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same >= SYMBOLS - DISTANCE
+def _distance(one: Column, other: Column) -> Column:
+    """Symbols in which two signatures differ."""
+    return F.aggregate(F.zip_with(one, other, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -159,10 +159,16 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Confirmation of candidate pairs on full sets."""
+    """Confirmation of candidate pairs on full sets, and the components of what is confirmed."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str, text: str):
         self.docs, self.reps, self.length, self.percent, self.key, self.text = docs, reps, length, percent, key, text
+        #: class, label (least class of the component) of the classes that are linked; all others are their own.
+        self.labels = self.sized_labels = reps.select("class", F.col("class").alias("label")).where("false")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows (with a class) and the label of each."""
+        return rows.join(self.sized_labels, "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """class, set of the wanted classes (distinct rows), from the texts of their representatives."""
@@ -171,51 +177,67 @@ class _Links:
         made = full_sets(docs.select(self.text), self.length, self.text).join(classes, "class", "left_semi")
         return cut(made.dropDuplicates(["class"]), "sets")
 
-    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        """a, b: the distinct pairs whose signatures are near enough and whose sets are similar enough."""
-        sigs = self.reps.select("class", "sig")
-        near = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = near.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
-        near = cut(near.where(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "near")
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> int:
+        """Link the pairs a, b whose sets are similar enough; the number of links."""
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            return 0
         if sets is None:
-            sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        inter = F.size(F.array_intersect("set_a", "set_b"))
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        inter = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         union = F.size("set_a") + F.size("set_b") - inter
-        return cut(both.where(inter * 100 >= union * self.percent).select("a", "b"), "links")
+        links = cut(both.where(inter * 100 >= union * self.percent).select("a", "b"), "links")
+        found = links.count()
+        if found:
+            self._contract(links)
+        return found
 
+    def _contract(self, links: DataFrame) -> None:
+        """Components of the labels that links connect; each class gets its new label."""
+        ends = self.labelled(links.select(F.col("a").alias("class"), "b")).select(F.col("label").alias("x"), F.col("b").alias("class"))
+        ends = self.labelled(ends).select(F.greatest("x", "label").alias("a"), F.least("x", "label").alias("b")).where("a <> b")
+        merged = cut(components(ends), "merged")
+        known = self.labels.unionByName(merged.select(F.col("node").alias("class"), F.col("node").alias("label"))).distinct()
+        new = known.join(_maybe_broadcast(merged.toDF("label", "new")), "label", "left")
+        self.labels = cut(new.select("class", F.coalesce("new", "label").alias("label")), "labels")
+        self.sized_labels = _maybe_broadcast(self.labels)
 
-def bucket_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs a, b of buckets with up to SMALL members, and the members (key, class) of larger ones; keyed: key, class."""
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    buckets = cut(buckets.where("n > 1"), "buckets")
-    members = cut(keyed.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
-    listed = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("class")).alias("c"))
-    inside = listed.select(F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("k"), "c").select(
-        F.get("c", F.col("k")).alias("a"), F.explode(F.slice("c", F.col("k") + 2, F.size("c"))).alias("b")
-    )
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(inside)
-    return pairs, members.where(F.col("n") > SMALL).select("key", "class")
 
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """key, n, class, sig of the members of buckets with two members or more; reps: class, sig."""
+    keyed = reps.select("class", "sig", F.explode(chunk_keys(F.col("sig"))).alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    return cut(keyed.join(_maybe_broadcast(buckets), "key"), "members")
 
-def star_pairs(large: DataFrame, labels: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
-    """Members of unsettled buckets with their centres of other components (a, b), and those members (key, class).
 
-    large: key, class; first: number of the first hash order.
+def proposals(members: DataFrame, first: int, centres: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b: every member with the nearest centre of another component, if that is near enough; and the members of unsettled buckets.
+
+    members: key, n, class, sig, label; first: number of the first hash order.
     """
-    named = large.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
-    orders = [F.min(F.struct(F.xxhash64(F.lit(first + k), "class").alias("h"), F.col("class").alias("c"), F.col("label").alias("l"))) for k in range(CENTRES)]
-    buckets = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.array(*orders).alias("centres"))
-    open_members = cut(named.join(buckets.where("one <> other").select("key", "centres"), "key"), "open")
-    elsewhere = F.array_distinct(F.transform(F.filter("centres", lambda c: c["l"] != F.col("label")), lambda c: c["c"]))
-    met = open_members.select(F.col("class").alias("a"), F.explode(elsewhere).alias("b")).groupBy("a", "b").count()
-    # Similar documents share many buckets, and so their centres; those that share a passage only meet in few.
-    return met.where(F.col("count") >= MEETINGS).select("a", "b"), open_members.select("key", "class")
-
-
-def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: every pair of sets of different components that may be similar, by prefix filtering; sets: class, set."""
-    labelled = sets.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
+    this = F.struct("class", "label", "sig")
+    orders = [F.min(F.struct(F.xxhash64(F.lit(first + k), "class").alias("h"), this.alias("c"))).getField("c") for k in range(centres)]
+    buckets = members.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.array_distinct(F.array(*orders)).alias("centres"))
+    buckets = cut(buckets.where("one <> other").select("key", "centres"), "open-buckets")
+    left = cut(members.join(_maybe_broadcast(buckets), "key"), "open")
+    others = F.filter("centres", lambda c: c["label"] != F.col("label"))
+    nearest = F.array_min(F.transform(others, lambda c: F.struct(_distance(F.col("sig"), c["sig"]).alias("d"), c["class"].alias("b"))))
+    chosen = left.groupBy("class").agg(F.min(nearest).alias("c")).where(F.col("c.d") <= DISTANCE)
+    return chosen.select(F.col("class").alias("a"), F.col("c.b").alias("b")), left.select("key", "n", "class", "sig")
+
+
+def small_pairs(members: DataFrame) -> DataFrame:
+    """a, b: all near pairs of different components in buckets of up to SMALL members; members: key, class, sig, label."""
+    listed = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class", "label", "sig"))).alias("m"))
+    ahead = listed.select(F.explode(F.sequence(F.lit(0), F.size("m") - 1)).alias("k"), "m")
+    pairs = ahead.select(F.get("m", F.col("k")).alias("x"), F.explode(F.slice("m", F.col("k") + 2, F.size("m"))).alias("y"))
+    near = (F.col("x.label") != F.col("y.label")) & (_distance(F.col("x.sig"), F.col("y.sig")) <= DISTANCE)
+    return pairs.where(near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+
+
+def rare_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """a, b: every pair of sets of different components that may be similar, by prefix filtering; labelled: class, set, label."""
     rows = labelled.select("class", F.explode("set").alias("h"))
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ordered = rows.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
@@ -238,41 +260,35 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str, text: str) -> DataFrame:
-    """node, label (least class of the component) of every class that has a link."""
-    check = _Links(docs, reps, length, percent, key, text)
-    pairs, large = bucket_pairs(reps.select("class", F.explode(chunk_keys(F.col("sig"))).alias("key")))
-    labels = cut(components(check.confirm(pairs)), "labels")
-    if large.isEmpty():
-        return labels
-    sets = check.sets(large.select("class").distinct())
-
-    def joined(new: DataFrame) -> DataFrame:
-        known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        return cut(components(known.unionByName(new)), "labels")
-
-    first, few = 0, sets.count() // FEW
+    """class, label (least class of the component) of every class that has a link."""
+    links = _Links(docs, reps, length, percent, key, text)
+    members = shared_buckets(reps.select("class", "sig"))
+    pairs, members = proposals(links.labelled(members), 0, 1)
+    links.confirm(pairs)
+    links.confirm(small_pairs(links.labelled(members.where(F.col("n") <= SMALL))))
+    large = members.where(F.col("n") > SMALL)
+    sets = links.sets(large.select("class").distinct())
+    if sets.isEmpty():
+        return links.labels
+    first = 1
     while True:
-        stars, large = star_pairs(large, labels, first)
-        new = check.confirm(stars, sets)
-        found = new.count()
-        if found:
-            labels, first = joined(new), first + CENTRES
-        if found <= few:
+        pairs, large = proposals(links.labelled(large), first, CENTRES)
+        first += CENTRES
+        pairs = cut(pairs, "proposals")
+        if links.confirm(pairs, sets) * FEW <= pairs.count():
             break
     rest = sets.join(large.select("class").distinct(), "class", "left_semi")
-    new = check.confirm(rare_pairs(rest, labels, percent), sets)
-    return labels if new.isEmpty() else joined(new)
+    links.confirm(rare_pairs(links.labelled(rest), percent), sets)
+    return links.labels
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (least key of the component) and kept (it is the document's own) of every document."""
     rows = cut(sketch(docs, length, key, text), "sketches")
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
-    one_sig = rows.where("class IS NOT NULL").select("class", "id", "sig")
-    reps = classes.join(one_sig, (classes["class"] == one_sig["class"]) & classes["id"].eqNullSafe(one_sig["id"]))
-    reps = cut(reps.select(classes["class"], classes["id"], "sig").dropDuplicates(["class"]), "reps")
+    # Equal sets have equal signatures.
+    reps = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "reps")
     labels = linked(docs, reps, length, percent, key, text)
-    named = classes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
+    named = reps.select("class", "id").join(_maybe_broadcast(labels), "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = named.select("class", "label").join(least, "label").select("class", "component_id")
     out = rows.drop("sig").join(by_class, "class", "left")

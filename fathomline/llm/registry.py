@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fathomline.llm import q_bpe, q_chat, q_decontaminate, q_html, q_lm, q_near_dups, q_quality, q_rules, q_secrets, q_shards
 
-MODULES = (q_decontaminate, q_rules, q_shards, q_lm, q_near_dups, q_quality, q_html, q_secrets, q_bpe, q_chat, q_near_dups)
+MODULES = (q_decontaminate, q_rules, q_shards, q_lm, q_near_dups, q_quality, q_html, q_secrets, q_bpe, q_chat)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
