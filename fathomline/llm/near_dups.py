@@ -44,7 +44,8 @@ PER_CHUNK = SYMBOLS // CHUNKS
 SMALL = 8
 #: Centres of a larger bucket in a round.  Rounds end once one proposal or less in FEW is a link; the prefix join has the rest.
 CENTRES, FEW = 4, 20
-BROADCAST_ROWS = 500_000
+#: Rows of a table sent to all workers: of two numbers each, and of signatures.
+BROADCAST_ROWS, BROADCAST_SIGNATURES = 300_000, 30_000
 MEMO = 400_000
 
 _draw = np.random.default_rng(20240)
@@ -154,8 +155,8 @@ def _distance(one: Column, other: Column) -> Column:
     return F.aggregate(F.zip_with(one, other, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if df.count() <= (most or BROADCAST_ROWS) else df
 
 
 class _Links:
@@ -220,7 +221,7 @@ def proposals(members: DataFrame, first: int, centres: int) -> tuple[DataFrame,
     orders = [F.min(F.struct(F.xxhash64(F.lit(first + k), "class").alias("h"), this.alias("c"))).getField("c") for k in range(centres)]
     buckets = members.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.array_distinct(F.array(*orders)).alias("centres"))
     buckets = cut(buckets.where("one <> other").select("key", "centres"), "open-buckets")
-    left = cut(members.join(_maybe_broadcast(buckets), "key"), "open")
+    left = cut(members.join(_maybe_broadcast(buckets, BROADCAST_SIGNATURES // centres), "key"), "open")
     others = F.filter("centres", lambda c: c["label"] != F.col("label"))
     nearest = F.array_min(F.transform(others, lambda c: F.struct(_distance(F.col("sig"), c["sig"]).alias("d"), c["class"].alias("b"))))
     chosen = left.groupBy("class").agg(F.min(nearest).alias("c")).where(F.col("c.d") <= DISTANCE)
