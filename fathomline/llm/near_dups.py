@@ -167,6 +167,10 @@ class _Links:
         #: class, label (least class of the component) of the classes that are linked; all others are their own.
         self.labels = self.sized_labels = reps.select("class", F.col("class").alias("label")).where("false")
 
+    def signed(self, rows: DataFrame) -> DataFrame:
+        """rows (with a class), the label and the signature of each."""
+        return self.labelled(rows).join(self.reps.select("class", "sig"), "class")
+
     def labelled(self, rows: DataFrame) -> DataFrame:
         """rows (with a class) and the label of each."""
         return rows.join(self.sized_labels, "class", "left").withColumn("label", F.coalesce("label", F.col("class")))
@@ -206,8 +210,8 @@ class _Links:
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
-    """key, n, class, sig of the members of buckets with two members or more; reps: class, sig."""
-    keyed = reps.select("class", "sig", F.explode(chunk_keys(F.col("sig"))).alias("key"))
+    """key, n, class of the members of buckets with two members or more; reps: class, sig."""
+    keyed = reps.select("class", F.explode(chunk_keys(F.col("sig"))).alias("key"))
     buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     return cut(keyed.join(_maybe_broadcast(buckets), "key"), "members")
 
@@ -221,11 +225,12 @@ def proposals(members: DataFrame, first: int, centres: int) -> tuple[DataFrame,
     orders = [F.min(F.struct(F.xxhash64(F.lit(first + k), "class").alias("h"), this.alias("c"))).getField("c") for k in range(centres)]
     buckets = members.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.array_distinct(F.array(*orders)).alias("centres"))
     buckets = cut(buckets.where("one <> other").select("key", "centres"), "open-buckets")
-    left = cut(members.join(_maybe_broadcast(buckets, BROADCAST_SIGNATURES // centres), "key"), "open")
+    met = members.join(_maybe_broadcast(buckets, BROADCAST_SIGNATURES // centres), "key")
     others = F.filter("centres", lambda c: c["label"] != F.col("label"))
     nearest = F.array_min(F.transform(others, lambda c: F.struct(_distance(F.col("sig"), c["sig"]).alias("d"), c["class"].alias("b"))))
-    chosen = left.groupBy("class").agg(F.min(nearest).alias("c")).where(F.col("c.d") <= DISTANCE)
-    return chosen.select(F.col("class").alias("a"), F.col("c.b").alias("b")), left.select("key", "n", "class", "sig")
+    left = cut(met.select("key", "n", "class", nearest.alias("c")), "open")
+    chosen = left.groupBy("class").agg(F.min("c").alias("c")).where(F.col("c.d") <= DISTANCE)
+    return chosen.select(F.col("class").alias("a"), F.col("c.b").alias("b")), left.select("key", "n", "class")
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
@@ -244,11 +249,15 @@ def rare_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     ordered = rows.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     n = F.size("s")
     kept = n - F.ceil(n * percent / 100).cast("int") + 1
-    sliced = ordered.select("class", n.alias("n"), F.slice(F.col("s.h"), F.lit(1), kept).alias("rare"))
-    prefix = sliced.select("class", "n", "rare", F.posexplode("rare").alias("at", "h"))
-    prefix = cut(prefix.join(labelled.select("class", "label"), "class"), "prefixes")
-    mixed = prefix.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h")
-    prefix = cut(prefix.join(mixed, "h", "left_semi"), "prefixes")
+    sliced = ordered.select("class", n.alias("n"), F.slice(F.col("s.h"), F.lit(1), kept).alias("rare")).join(labelled.select("class", "label"), "class")
+    rare = cut(sliced, "rare")
+    # Postings of shingles that two components share; only these carry what tells a pair's first shared one.
+    postings = rare.select("label", F.explode("rare").alias("h"))
+    mixed = cut(postings.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h"), "mixed")
+    held = rare.select("class", F.posexplode("rare").alias("at", "h")).join(_maybe_broadcast(mixed), "h", "left_semi")
+    held = held.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("m"))
+    prefix = cut(rare.select("class", "n", "label").join(held, "class").select("class", "n", "label", F.col("m.h").alias("rare"), F.explode("m").alias("m")), "prefixes")
+    prefix = prefix.select("class", "n", "label", "rare", "m.at", "m.h")
     other = prefix.select("h", *[F.col(c).alias(f"{c}_2") for c in ("class", "n", "rare", "at", "label")])
     # A pair counts at its first shared shingle only; sizes and what is left of both sets from there must allow the similarity.
     small, big = F.least("n", "n_2"), F.greatest("n", "n_2")
@@ -264,16 +273,16 @@ def linked(docs: DataFrame, reps: DataFrame, length: int, percent: int, key: str
     """class, label (least class of the component) of every class that has a link."""
     links = _Links(docs, reps, length, percent, key, text)
     members = shared_buckets(reps.select("class", "sig"))
-    pairs, members = proposals(links.labelled(members), 0, 1)
+    pairs, members = proposals(links.signed(members), 0, 1)
     links.confirm(pairs)
-    links.confirm(small_pairs(links.labelled(members.where(F.col("n") <= SMALL))))
+    links.confirm(small_pairs(links.signed(members.where(F.col("n") <= SMALL))))
     large = members.where(F.col("n") > SMALL)
     sets = links.sets(large.select("class").distinct())
     if sets.isEmpty():
         return links.labels
     first = 1
     while True:
-        pairs, large = proposals(links.labelled(large), first, CENTRES)
+        pairs, large = proposals(links.signed(large), first, CENTRES)
         first += CENTRES
         pairs = cut(pairs, "proposals")
         if links.confirm(pairs, sets) * FEW <= pairs.count():
