@@ -1,31 +1,34 @@
 r"""Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-Model.  Words `[^\x20\x09-\x0D]+` become one of 256 ids: the most frequent words of trusted text have
-ids of their own; any other word is known by its shape (case, length, digits, symbols, trailing
-punctuation) or as a repetition of the word before it.  The key space of trigrams, 2**24, bounds the
-model whatever the corpus.  It is fitted on a sample of the labelled good documents, about
-TRUSTED_DOCUMENTS of them chosen by hash: languages with few give all, the others equally many.  Its trigram counts stay in Spark: counts of counts give the
-discounts of each order, and joins of the count tables, sharded by context, give the discounted
-probability of every seen n-gram and the back-off weight of every context.
-
-Scoring.  The joined tables (at most 2**24 rows, in practice some hundred thousand) go to every
-worker, which looks up a whole document at once.  A join of every document's n-grams by shuffle would
-move several times the input.  Perplexities are drawn towards the trusted mean of the language by
-PRIOR_TOKENS tokens, so that a short text isn't judged by a few words.  A document is rejected if its
-perplexity is over a quantile of its language's trusted documents, with a margin; languages with fewer
-than TRUSTED_LEAST trusted documents in the whole table use the quantile of all.  Means and quantiles are over
-all trusted documents, fitted or not: all documents are scored, and only ids and scores are joined
-with the labels and counted in bins of log10 perplexity.
-
-Defined results: a null or blank text has the end mark alone and is kept; a null language is a
-language like any other; labels that contradict each other count as trusted only if all say good;
-without trusted documents everything is kept; an empty table gives an empty result; other columns
-pass through untouched.
+Model.  Tokens are all words `[^\x20\x09-\x0D]+` and an end mark, as 64-bit hashes; a word that repeats the
+one before it is a repetition.  The model is fitted on labelled good documents, by hash on one half of every
+language at most and about TRUSTED_DOCUMENTS in all (languages with few give their half, the others
+equally many).  Counts stay in Spark, sharded by context: counts of counts give the discounts of each
+order, joins of the count tables the probability of every n-gram and the back-off weight of every
+context.  Trigrams seen once are pruned: their mass goes to the back-off weight.
+
+Scoring.  log p(w | u, v) is a sum of terms, one of w, one of (v, w) and one of (u, v, w), each 0 where the model has no such n-gram.
+So a document's log-probability is the sum of a table's values over its n-grams.  The table is dealt by hash into
+SLOTS slots.  The most frequent n-gram of every slot goes to every worker and is added there.  All others are
+joined by n-gram, sharded by hash: a filter of FILTER_BITS bits an n-gram tells workers which n-grams can be in
+that part of the table, so only these leave them, and no frequent n-gram is ever a join key.
+
+Decision.  Perplexities are drawn towards the trusted mean of the language by PRIOR_TOKENS tokens, so that
+a short text isn't judged by a few words.  A document is rejected if it lies above the language's QUANTILE by
+over MARGIN of log10 perplexity.  Means and quantiles cover all trusted documents that the model was not
+fitted on, in bins of log10 perplexity, and are drawn towards those of all languages by PRIOR_DOCUMENTS
+documents.
+
+Defined results: a null or blank text has the end mark alone; a null language is a language like any
+other; labels that contradict each other count as trusted only if all say good and none toxic; without
+trusted documents everything is kept; rows that are equal in key, text and language are judged alike; an
+empty table gives an empty result; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
+import uuid
 from collections.abc import Iterator
 from operator import eq
 
@@ -39,71 +42,63 @@ from fathomline.llm.common import cut
 from fathomline.llm.decontaminate import sized
 
 TRUSTED_DOCUMENTS = 20_000
-VOCABULARY = 190
-IDS = 256
-#: REPEAT: the word before once more; REPEATS: the third time or later.
-START, END, REPEAT, REPEATS = 0, 1, 2, 3
-FIRST_SHAPE, FIRST_WORD = 4, 64
-QUANTILE, MARGIN = 0.995, 1.25
-TRUSTED_LEAST = 100
-PRIOR_TOKENS = 20
+SLOTS = 1 << 21
+FILTER_BITS, PROBES = 16, 3
+QUANTILE, MARGIN = 0.995, 0.15
+PRIOR_DOCUMENTS, PRIOR_TOKENS = 100, 20
 #: Bins of log10 perplexity per unit; a limit is the upper edge of its bin.
 BINS = 10_000
-MEMO = 500_000
-
-_EDGE = re.compile(r"[.,;:!?]+$")
-
-
-def shape(word: str) -> int:
-    """Id of a word's shape, from FIRST_SHAPE on."""
-    core = _EDGE.sub("", word)
-    tail = word[len(core) :]
-    letters = sum(c.isalpha() for c in core)
-    digits = sum(c.isdigit() for c in core)
-    mark = 0 if not tail else 1 if tail in {".", ","} else 2
-    if not core or not letters + digits:
-        kind = 0
-    elif letters + digits < len(core):
-        kind = 1 if len(core) - letters - digits == 1 else 2
-    elif digits:
-        kind = 3 if letters else 4
-    elif letters > 1 and core.isupper():
-        kind = 5
-    else:
-        kind = 6 + 4 * core[0].isupper() + min(3, len(core) // 4)
-    return FIRST_SHAPE + 3 * kind + mark
+MEMO = 400_000
+PARTIAL = 400_000
+FILTER_BLOCK = 1 << 16
+#: Texts of a task are worked on in groups of about this many bytes.
+CHARS_A_SLICE = 4_000_000
 
+#: Hashes of the marks; REPEAT: the word before once more; REPEATS: the third time or later.
+START, END, REPEAT, REPEATS = 1, 2, 3, 4
+_MUL = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
-class Ids(dict):
-    """Word (bytes) to id; unseen words are classed by shape and remembered up to MEMO words."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        super().__init__()
-        self.own = {w: FIRST_WORD + k for k, w in enumerate(vocabulary)}
-        self.update(self.own)
+class Ids(dict):
+    """Word (bytes) to its hash; up to MEMO words are remembered."""
 
     def __missing__(self, word: bytes) -> int:
+        import xxhash
+
         if len(self) > MEMO:
             self.clear()
-            self.update(self.own)
-        self[word] = got = shape(word.decode("utf-8", "replace"))
+        self[word] = got = xxhash.xxh64_intdigest(word)
         return got
 
     def of(self, text: bytes) -> np.ndarray:
-        """Two start ids, the words' ids, the end id."""
+        """Two start marks, the words, the end mark."""
         words = text.split()
-        ids = np.empty(len(words) + 3, np.int64)
+        ids = np.empty(len(words) + 3, np.uint64)
         ids[:2], ids[-1] = START, END
         ids[2:-1] = list(map(self.__getitem__, words))
         if len(words) > 1:
             same = np.fromiter(map(eq, words, words[1:]), bool, len(words) - 1)
-            ids[3:-1][same] = REPEAT
-            ids[4:-1][same[1:] & same[:-1]] = REPEATS
+            if same.any():
+                ids[3:-1][same] = REPEAT
+                ids[4:-1][same[1:] & same[:-1]] = REPEATS
         return ids
 
 
-def keys(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-2] << 16) | (ids[1:-1] << 8) | ids[2:]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def grams(*ids: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams whose words are given in order, by order of the model."""
+    h = np.full(len(ids[0]), len(ids), np.uint64)
+    for part, mul in zip(ids, _MUL, strict=False):
+        h = _mixed(h * mul + part)
+    return h
+
+
+def _keys(ids: np.ndarray) -> list[np.ndarray]:
+    return [grams(ids[1:]), grams(ids[:-1], ids[1:]), grams(ids[:-2], ids[1:-1], ids[2:])]
 
 
 def _body(text: str) -> Column:
@@ -111,15 +106,16 @@ def _body(text: str) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_ids that every label calls good."""
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1")
-    return good.select("doc_id")
+    """doc_ids that every label calls good and none toxic."""
+    toxic = F.coalesce(F.max("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least"), toxic.alias("worst"))
+    return good.where("least = 1 AND worst = 0").select("doc_id")
 
 
 def fitted_ids(trusted: DataFrame, most: int | None = None) -> DataFrame:
-    """About `most` of trusted (doc_id, lang) by hash, at most equally many of every language."""
+    """About `most` of trusted (doc_id, lang) by hash, at most equally many of every language and half of each."""
     left = most or TRUSTED_DOCUMENTS
-    counts = cut(trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    counts = cut(trusted.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / 2).alias("n"), F.count(F.lit(1)).alias("docs")), "languages")
     # Distinct counts are few: their sum is at most the number of documents.
     sizes = [(r["n"], r["languages"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("languages")).orderBy("n").collect()]
     languages, share = sum(k for _, k in sizes), 1.0
@@ -128,32 +124,37 @@ def fitted_ids(trusted: DataFrame, most: int | None = None) -> DataFrame:
         if n > share:
             break
         left, languages, share = left - n * k, languages - k, float(n)
-    rates = counts.select(F.col("lang").alias("_lang"), (F.lit(share) / F.col("n")).alias("_rate"))
+    rates = counts.select(F.col("lang").alias("_lang"), (F.least(F.lit(share), F.col("n")) / F.col("docs")).alias("_rate"))
     rated = trusted.join(sized(rates, sum(k for _, k in sizes)), F.col("lang").eqNullSafe(F.col("_lang")))
     return rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_rate") * (1 << 30)).select("doc_id").distinct()
 
 
-def vocabulary(trusted: DataFrame, text: str = "text") -> list[bytes]:
-    body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    counted = trusted.select(F.explode(F.split(body, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("w").count()
-    return [r["w"].encode() for r in counted.orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()]
-
-
-def trigram_counts(trusted: DataFrame, vocab: list[bytes], text: str = "text") -> DataFrame:
-    """u, v, w, n of the trusted documents."""
+def trigram_counts(fitted: DataFrame, text: str = "text") -> DataFrame:
+    """u, v, w (hashes), n of the fitted documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = Ids(vocab), np.zeros(IDS**3, np.int32)
+        ids, parts, held = Ids(), [], 0
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                np.add.at(total, keys(ids.of(value)), 1)
-        seen = np.flatnonzero(total)
-        for k in range(0, len(seen), 100_000):
-            part = seen[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["key", "n"])
-
-    counted = trusted.select(_body(text)).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.select(F.shiftright("key", 16).alias("u"), (F.shiftright("key", 8) % IDS).alias("v"), (F.col("key") % IDS).alias("w"), "n")
+                s = ids.of(value)
+                parts.append(np.stack([s[:-2], s[1:-1], s[2:]], 1))
+                held += len(parts[-1])
+                if held >= PARTIAL:
+                    yield from summed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from summed(parts)
+
+    def summed(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(parts).view(np.int64)
+        order = np.lexsort(rows.T)
+        rows = rows[order]
+        starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+        n = np.diff(np.r_[starts, len(rows)])
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[starts, k]) for k in range(3)), pa.array(n, pa.int64())], names=["u", "v", "w", "n"])
+
+    counted = fitted.select(_body(text)).mapInArrow(count, "u bigint, v bigint, w bigint, n bigint")
+    return counted.groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -164,83 +165,173 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(k, max(0.1, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] else max(0.1, y) for k in (1, 2, 3)]
 
 
-def _level(counts: DataFrame, context: list[str], lower: DataFrame | None, on: list[str]) -> DataFrame:
-    """p of every seen n-gram (counts n by context and w), interpolated with lower (column p_low by on), and weight, the context's back-off."""
+def _level(counts: DataFrame, context: list[str], lower: DataFrame | float, on: list[str], least: int = 1) -> DataFrame:
+    """p of every n-gram seen `least` times or more (counts n by context and w), interpolated with lower (column p_low by on), and weight, the context's back-off."""
     d = _discounts(counts)
     discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    discount = F.when(F.col("n") < least, F.col("n")).otherwise(discount)
     totals = counts.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-    joined = counts.join(totals, context) if context else counts.crossJoin(F.broadcast(totals))  # no context: one row of totals
+    seen = counts.where(F.col("n") >= least)
+    joined = seen.join(totals, context) if context else seen.crossJoin(F.broadcast(totals))  # no context: one row of totals
     joined = joined.withColumn("weight", F.col("held") / F.col("total"))
-    low = joined.join(lower, on) if lower is not None else joined.withColumn("p_low", F.lit(1.0 / IDS))
+    low = joined.join(lower, on) if isinstance(lower, DataFrame) else joined.withColumn("p_low", F.lit(lower))
     return low.withColumn("p", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("p_low"))
 
 
 class Model:
-    """Tables of the three orders; log10 probabilities of documents."""
-
-    def __init__(self, vocab: list[bytes], trigrams: DataFrame):
-        self.vocab = vocab
-        bigrams = trigrams.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"))
-        unigrams = bigrams.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        one = cut(_level(unigrams, [], None, []).select("w", "p", "weight"), "kn1")
-        two = cut(_level(bigrams, ["v"], one.select("w", F.col("p").alias("p_low")), ["w"]).select("v", "w", "p", "weight"), "kn2")
-        three = _level(trigrams, ["u", "v"], two.select("v", "w", F.col("p").alias("p_low")), ["v", "w"]).select("u", "v", "w", "p", "weight")
-        self.tables = []
-        for level, names in ((one, ["w"]), (two, ["v", "w"]), (three, ["u", "v", "w"])):
-            got = level.toPandas()  # bounded by the key space
-            key = np.zeros(len(got), np.int64)
-            for name in names:
-                key = key * IDS + got[name].to_numpy(np.int64)
-            self.tables.append((key, got["p"].to_numpy(np.float32), got["weight"].to_numpy(np.float32)))
-
-    def dense(self) -> np.ndarray:
-        """log10 p(w | u, v) at index (u * 256 + v) * 256 + w: 64 MB."""
-        (k1, p1, g1), (k2, p2, g2), (k3, p3, g3) = self.tables
-        low = np.full(IDS, (g1[0] if len(g1) else 1.0) / IDS, np.float32)
-        low[k1] = p1
-        weight = np.ones(IDS, np.float32)
-        weight[k2 // IDS] = g2
-        mid = weight[:, None] * low[None, :]
-        mid.reshape(-1)[k2] = p2
-        weight = np.ones(IDS * IDS, np.float32)
-        weight[k3 // IDS] = g3
-        top = weight.reshape(IDS, IDS, 1) * mid[None, :, :]
-        flat = top.reshape(-1)
-        flat[k3] = p3
-        return np.log10(flat, out=flat)
-
-
-_loaded: dict[str, np.ndarray] = {}
-
-
-def with_log10(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a struct kn: n_tokens (words and the end) and log10 (of the text's probability)."""
-    shipped, name = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(hash(tuple(model.vocab)))
-
-    @F.pandas_udf("n_tokens long, log10 double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """values: key, value, n of every n-gram; unknown: log10 probability of a word that the model hasn't seen."""
+
+    def __init__(self, trigrams: DataFrame):
+        bigrams = cut(trigrams.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("seen")), "bigrams")
+        unigrams = cut(bigrams.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("seen").alias("seen")), "unigrams")
+        words = unigrams.count()
+        one = cut(_level(unigrams, [], 1.0 / (words + 1), []).select("w", "p", "weight", "seen"), "kn1")
+        two = cut(_level(bigrams, ["v"], one.select("w", F.col("p").alias("p_low")), ["w"]).select("v", "w", "p", "p_low", "weight", "seen"), "kn2")
+        three = _level(trigrams, ["u", "v"], two.select("v", "w", F.col("p").alias("p_low")), ["v", "w"], least=2)
+        first = one.first()
+        self.unknown = float(np.log10((first["weight"] if first else 1.0) / (words + 1)))
+        log = F.log10
+        after_one = two.groupBy(F.col("v").alias("w")).agg(log(F.first("weight")).alias("back"))
+        after_two = self._context_weights(trigrams).select(F.col("u").alias("v"), F.col("v").alias("w"), log("weight").alias("back"))
+        nothing = F.lit(0.0)
+        v1 = one.join(after_one, "w", "full").select(
+            F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"), "w",
+            (F.coalesce(log("p") - self.unknown, nothing) + F.coalesce("back", nothing)).alias("value"), F.coalesce("seen", F.lit(1 << 40)).alias("n"),
+        )
+        v2 = two.select("v", "w", (log("p") - log("weight") - log("p_low")).alias("own"), "seen").join(after_two, ["v", "w"], "full").select(
+            F.lit(None).cast("long").alias("u"), "v", "w", (F.coalesce("own", nothing) + F.coalesce("back", nothing)).alias("value"), F.coalesce("seen", F.lit(1 << 40)).alias("n")
+        )
+        v3 = three.select("u", "v", "w", (log("p") - log("weight") - log("p_low")).alias("value"), "n")
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, v, w = (b.column(k) for k in range(3))
+                ids = [np.asarray(c.fill_null(0)).view(np.uint64) for c in (u, v, w)]
+                order = np.where(np.asarray(u.is_valid()), 3, np.where(np.asarray(v.is_valid()), 2, 1))
+                key = np.choose(order - 1, [grams(ids[2]), grams(*ids[1:]), grams(*ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(3), b.column(4)], names=["key", "value", "n"])
+
+        self.values = v1.unionByName(v2).unionByName(v3).select("u", "v", "w", F.col("value").cast("float"), "n").mapInArrow(keyed, "key bigint, value float, n bigint")
+
+    def _context_weights(self, trigrams: DataFrame) -> DataFrame:
+        """u, v, weight of every context of two words."""
+        d = _discounts(trigrams)
+        discount = F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        return trigrams.groupBy("u", "v").agg((F.sum(discount) / F.sum("n")).alias("weight"))
+
+
+class Tables:
+    """What workers hold (slots' keys and values, the filter of the rest), and the rest of the table (key, value)."""
+
+    def __init__(self, model: Model):
+        slot = F.pmod(F.col("key"), F.lit(SLOTS))
+        ranked = model.values.withColumn("at", F.row_number().over(Window.partitionBy(slot).orderBy(F.desc("n"), "key")))
+        table = cut(ranked.select("key", "value", (F.col("at") == 1).alias("head")), "values")
+        self.unknown = model.unknown
+        self.keys, self.values = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.float32)
+        self.keys[0] = 1  # no key of slot 0
+        head = table.where("head").select("key", "value").toPandas()  # SLOTS rows at most
+        at = head["key"].to_numpy(np.int64) % SLOTS
+        self.keys[at], self.values[at] = head["key"], head["value"]
+        self.rest = table.where("NOT head").select("key", "value")
+        self.bits = 1 << max(16, int(self.rest.count() * FILTER_BITS).bit_length())
+        self.filter = self._filter(self.bits)
+
+    def _filter(self, bits: int) -> np.ndarray:
+        """A bit for each probe of each key, as bytes."""
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marked = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for at in (probe(b.column(0).to_numpy().view(np.uint64), k, bits) for k in range(PROBES)):
+                    np.bitwise_or.at(marked, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            for k in range(0, len(marked), FILTER_BLOCK):
+                part = marked[k : k + FILTER_BLOCK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+        def joined(frame: pd.DataFrame) -> pd.DataFrame:
+            out = np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in frame["part"]])
+            return pd.DataFrame({"at": [frame["at"].iloc[0]], "part": [out.tobytes()]})
+
+        out = np.zeros(bits // 8, np.uint8)
+        for row in self.rest.select("key").mapInArrow(mark, "at bigint, part binary").groupBy("at").applyInPandas(joined, "at bigint, part binary").collect():
+            part = np.frombuffer(row["part"], np.uint8)
+            out[row["at"] : row["at"] + len(part)] = part
+        return out
+
+
+def probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The bit of the k-th probe of each key."""
+    return (_mixed(keys * _MUL[k] + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about CHARS_A_SLICE bytes of text (column 3) each, at least a row."""
+    upto = np.cumsum([len(value.as_buffer()) if value.is_valid else 0 for value in batch.column(3)])
+    edges = np.flatnonzero(np.r_[True, np.diff(upto // CHARS_A_SLICE) > 0, True]) if len(upto) else []
+    for low, high in itertools.pairwise(edges):
+        yield batch.slice(low, high - low)
+
+
+_loaded: dict[str, tuple] = {}
+
+
+def log_probabilities(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, lang, text_hash, n_tokens (words and the end) and log10 (of the text's probability) of every row."""
+    tables = Tables(model)
+    shipped, name = docs.sparkSession.sparkContext.broadcast((tables.keys, tables.values, tables.filter, tables.bits)), uuid.uuid4().hex
+    unknown = tables.unknown
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:
             _loaded.clear()
-            _loaded[name] = shipped.value.dense()
-        table, ids = _loaded[name], Ids(shipped.value.vocab)
-        for batch in texts:
-            rows = []
-            for value in batch:
-                k = keys(ids.of(bytes(value)))
-                rows.append((len(k), float(table[k].sum(dtype=np.float64))))
-            yield pd.DataFrame(rows, columns=["n_tokens", "log10"])
-
-    return docs.withColumn("kn", score(_body(text)))
+            _loaded[name] = shipped.value
+        own_keys, own_values, marked, bits = _loaded[name]
+        ids = Ids()
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
+            rows = [ids.of(value) for value in batch.column(3).to_pylist()]
+            n_tokens = np.array([len(r) - 2 for r in rows])
+            total = n_tokens * unknown
+            doc = np.arange(len(rows))
+            lists = []
+            parts = [_keys(r) for r in rows]
+            for order in range(3):
+                found = np.concatenate([p[order] for p in parts]).view(np.int64)
+                where = np.repeat(doc, [len(p[order]) for p in parts])
+                at = found & (SLOTS - 1)
+                hit = own_keys[at] == found
+                total = total + np.bincount(where[hit], own_values[at[hit]], len(rows))
+                left, where = found[~hit].view(np.uint64), where[~hit]
+                for k in range(PROBES):
+                    place = probe(left, k, bits)
+                    maybe = (marked[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    left, where = left[maybe], where[maybe]
+                lists.append((where, left.view(np.int64)))
+            where, rest = np.concatenate([w for w, _ in lists]), np.concatenate([k for _, k in lists])
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(len(rows) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(3)), pa.array(n_tokens, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(rest[order]))],
+                names=["doc_id", "lang", "text_hash", "n_tokens", "log10", "rest"],
+            )
+
+    kinds = [docs.schema[c].dataType.simpleString() for c in (key, lang)]
+    given = docs.select(F.col(key), F.col(lang), F.xxhash64(text), _body(text))
+    scored = given.mapInArrow(work, f"doc_id {kinds[0]}, lang {kinds[1]}, text_hash bigint, n_tokens bigint, log10 double, rest array<bigint>")
+    scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()), "scores")
+    joined = scored.select("_row", F.explode("rest").alias("key")).join(tables.rest, "key").groupBy("_row").agg(F.sum("value").alias("more"))
+    return scored.drop("rest").join(joined, "_row", "left").withColumn("log10", F.col("log10") + F.coalesce("more", F.lit(0.0))).drop("_row", "more")
 
 
 def _shrunk(mean: Column) -> Column:
     """log10 perplexity, drawn towards the trusted mean."""
-    return (-F.col("kn.log10") + PRIOR_TOKENS * mean) / (F.col("kn.n_tokens") + PRIOR_TOKENS)
+    return (-F.col("log10") + PRIOR_TOKENS * mean) / (F.col("n_tokens") + PRIOR_TOKENS)
 
 
 def _limit(known: DataFrame, by: list[str]) -> DataFrame:
     """by, mean, docs and limit (the quantile) of trusted scores."""
-    means = known.groupBy(*by).agg((-F.sum("kn.log10") / F.sum("kn.n_tokens")).alias("mean"), F.count(F.lit(1)).alias("docs"))
+    means = known.groupBy(*by).agg((-F.sum("log10") / F.sum("n_tokens")).alias("mean"), F.count(F.lit(1)).alias("docs"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     named = means.select(*[F.col(c).alias(f"_{c}") for c in by], "mean", "docs")
     named = cut(named, "means")
@@ -250,26 +341,31 @@ def _limit(known: DataFrame, by: list[str]) -> DataFrame:
     return upto.where(F.col("upto") >= F.lit(QUANTILE) * F.col("docs")).groupBy(*by, "mean", "docs").agg((F.min("bin") / BINS).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with n_tokens, perplexity, limit and kept (names prefixed by kn_)."""
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """key, lang, text_hash, n_tokens, perplexity, limit (both log10, drawn towards the mean) and kept of every row."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     good = cut(trusted_ids(labels), "trusted")
     good = sized(good, good.count())
-    named = docs.select("doc_id", F.col(lang).alias("lang")).join(good, "doc_id", "left_semi")
-    wanted = cut(fitted_ids(named), "fitted")
-    trusted = docs.join(F.broadcast(wanted), "doc_id", "left_semi")  # TRUSTED_DOCUMENTS bounds it
-    vocab = vocabulary(trusted, text)
-    trigrams = cut(trigram_counts(trusted, vocab, text), "trigrams")
-    model = Model(vocab, trigrams)
-    # Texts don't move: all are scored, and the scores are joined with the trusted ids.
-    scores = with_log10(docs.select("doc_id", text, F.col(lang).alias("lang")), model, text).select("doc_id", "lang", "kn")
-    known = cut(cut(scores, "scores").join(good, "doc_id", "left_semi").select("lang", "kn"), "trusted-scores")
+    wanted = cut(fitted_ids(rows.select("doc_id", "lang").join(good, "doc_id", "left_semi")), "fitted")
+    fitted = rows.join(F.broadcast(wanted), "doc_id", "left_semi")  # TRUSTED_DOCUMENTS bounds it
+    scores = cut(log_probabilities(rows, Model(cut(trigram_counts(fitted), "trigrams"))), "log10")
+    known = scores.join(good, "doc_id", "left_semi").join(F.broadcast(wanted), "doc_id", "left_anti")
+    known = cut(known.select("lang", "log10", "n_tokens"), "trusted-scores")
     overall = _limit(known, []).first()
-    mean_all, limit_all = (overall["mean"], overall["limit"]) if overall else (0.0, None)
-    limits = cut(_limit(known, ["lang"]).where(F.col("docs") >= TRUSTED_LEAST).select(F.col("lang").alias("_lang"), F.col("mean").alias("_mean"), F.col("limit").alias("_limit")), "limits")
-    scored = with_log10(docs, model, text).join(sized(limits, limits.count()), F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    log_limit = F.coalesce("_limit", F.lit(limit_all).cast("double"))
-    scored = scored.withColumns({"kn_log10": _shrunk(F.coalesce("_mean", F.lit(mean_all))), "kn_limit": log_limit * MARGIN})
-    kept = F.coalesce(F.col("kn_log10") <= F.col("kn_limit"), F.lit(True))
-    return scored.withColumns(
-        {"kn_tokens": F.col("kn.n_tokens"), "kn_perplexity": F.pow(F.lit(10.0), -F.col("kn.log10") / F.col("kn.n_tokens")), "kn_kept": kept}
-    ).drop("kn", "_lang", "_mean", "_limit")
+    mean_all, limit_all = (overall["mean"], overall["limit"]) if overall else (0.0, float("inf"))
+    limits = _limit(known, ["lang"])
+    drawn = [((F.col("docs") * F.col(c) + PRIOR_DOCUMENTS * every) / (F.col("docs") + PRIOR_DOCUMENTS)).alias(f"_{c}") for c, every in (("mean", mean_all), ("limit", limit_all))]
+    limits = cut(limits.select(F.col("lang").alias("_lang"), *drawn), "limits")
+    scored = scores.join(sized(limits, limits.count()), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    drawn_to, limit = F.coalesce("_mean", F.lit(mean_all)), F.coalesce("_limit", F.lit(limit_all)) + MARGIN
+    return scored.select(
+        F.col("doc_id").alias(key), "lang", "text_hash", "n_tokens", _shrunk(drawn_to).alias("perplexity"), limit.alias("limit"), (_shrunk(drawn_to) <= limit).alias("kept")
+    )
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without those that the classifier rejects."""
+    gone = judge(docs, labels, key, text, lang).where("NOT kept").select(F.col(key).alias("_key"), F.col("lang").alias("_lang"), "text_hash").distinct()
+    gone = cut(gone.withColumnRenamed("text_hash", "_hash"), "rejected")
+    same = docs[key].eqNullSafe(F.col("_key")) & docs[lang].eqNullSafe(F.col("_lang")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+    return docs.join(sized(gone, gone.count()), same, "left_anti")

@@ -229,43 +229,100 @@ def test_lm_is_a_distribution():
     assert (value(w + step) - value(w - step)) / 0.1 == pytest.approx(float(g[f, 3]), abs=2e-2)
 
 
-def test_kneser_ney_model(spark):
-    docs = documents(spark, [(k, prose(k, 60)) for k in range(30)])
-    vocab = kneser_ney.vocabulary(docs)
-    model = kneser_ney.Model(vocab, kneser_ney.trigram_counts(docs, vocab))
-    table = 10.0 ** model.dense().reshape(256 * 256, 256).astype(float)
-    ids = kneser_ney.Ids(vocab)
-    seen = kneser_ney.keys(ids.of(prose(1, 60).encode()))
-    assert abs(table[seen // 256].sum(1) - 1).max() < 1e-3 and abs(table[77].sum() - 1) < 1e-3
-    text = b"the the the ship"
-    assert list(ids.of(text)[3:5]) == [kneser_ney.REPEAT, kneser_ney.REPEATS]
+def plain_kneser_ney(texts):
+    """p(w | u, v) of an interpolated modified Kneser-Ney model, trigrams seen once pruned, by plain counting."""
+    tri = collections.Counter()
+    for t in texts:
+        s = ["<s>", "<s>", *marked(t), "</s>"]
+        tri.update(zip(s, s[1:], s[2:], strict=False))
+    bi = collections.Counter(g[1:] for g in tri)
+    uni = collections.Counter(g[1] for g in bi)
+
+    def cuts(counts):
+        c = [sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+        return [min(k, max(0.1, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] else max(0.1, y) for k in (1, 2, 3)]
+
+    def level(counts, least, lower):
+        d, total, held = cuts(counts), collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            held[g[:-1]] += n if n < least else d[min(n, 3) - 1]
+
+        def p(*g):
+            at = g[:-1]
+            if at not in total:
+                return lower(*g[1:])
+            n = counts.get(g, 0)
+            return (n - d[min(n, 3) - 1] if n >= least else 0) / total[at] + held[at] / total[at] * lower(*g[1:])
+
+        return p
+
+    one = level(collections.Counter({(w,): n for w, n in uni.items()}), 1, lambda: 1 / (len(uni) + 1))
+    return level(tri, 2, level(bi, 1, one))
+
+
+def marked(text):
+    words, out = WORD.findall(text or ""), []
+    for k, w in enumerate(words):
+        again = k > 0 and words[k - 1] == w
+        out.append("<rr>" if again and k > 1 and words[k - 2] == w else "<r>" if again else w)
+    return out
+
+
+@pytest.mark.parametrize("slots", [1 << 21, 64])
+def test_kneser_ney_scores(spark, monkeypatch, slots):
+    monkeypatch.setattr(kneser_ney, "SLOTS", slots)
+    rows = [(k, " ".join(w.rstrip("0123456789") for w in prose(k, 60).split())) for k in range(30)]
+    p = plain_kneser_ney([t for _, t in rows])
+    unseen = [(700, "new words the gold ship the the the the river"), (701, None), (702, prose(4, 3000))]
+    model = kneser_ney.Model(kneser_ney.trigram_counts(documents(spark, rows)))
+    got = kneser_ney.log_probabilities(documents(spark, rows + unseen + ODD), model).collect()
+    want = collections.Counter()
+    for i, t in rows + unseen + ODD:
+        s = ["<s>", "<s>", *marked(t), "</s>"]
+        want[i, len(s) - 2, round(sum(math.log10(p(*g)) for g in zip(s, s[1:], s[2:], strict=False)), 1)] += 1
+    close = collections.Counter()
+    for r in got:
+        near = [k for k in want if k[:2] == (r["doc_id"], r["n_tokens"]) and abs(k[2] - r["log10"]) < 0.051 + 1e-5 * r["n_tokens"]]
+        assert near, r
+        close[near[0]] += 1
+    assert close == want
+    assert sum(10 ** math.log10(p("the", "gold", w)) for w in {w for _, t in rows for w in t.split()} | {"</s>", "<r>", "<rr>", "unseen"}) == pytest.approx(1)
 
 
 def test_quality_classifier(spark):
-    good = [(k, prose(k, 120)) for k in range(150)]
-    junk = [(500 + k, " ".join(w.upper() + "!!" for w in prose(k, 120).split())) for k in range(10)] + [(600, " ".join(w for w in prose(3, 30).split() for _ in range(10)))]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(500, 0, 0), (99, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
-    out = kneser_ney.classify(documents(spark, good + junk + ODD), labels)
-    kept = {r["doc_id"]: r["kn_kept"] for r in out.collect()}
+    plain = lambda k: " ".join(w[:-1] for w in prose(k, 120).split())  # noqa: E731  some 500 different words
+    good = [(k, plain(k)) for k in range(150)]
+    junk = [(500 + k, " ".join(w[::-1] + "!!" for w in plain(k).split())) for k in range(10)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(500, 0, 0), (99, 0, 0), (98, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert {r["doc_id"] for r in kneser_ney.trusted_ids(labels).collect()} == set(range(98))
+    docs = documents(spark, good + junk + ODD).withColumn("kn", F.lit("own")).withColumn("text_hash", F.lit(1))
+    kept = {r["doc_id"]: r["kept"] for r in kneser_ney.judge(docs, labels).collect()}
     assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in junk) and kept[1] and kept[2]
-    assert out.count() == len(good + junk + ODD)
-    assert kneser_ney.classify(documents(spark, ODD), labels.where("false")).where("NOT kn_kept").count() == 0
-    assert kneser_ney.classify(documents(spark, []), labels).count() == 0
+    left = kneser_ney.drop_rejected(docs, labels)
+    assert left.columns == docs.columns
+    # Rows of the same id and text are judged alike, others apart.
+    assert collections.Counter(r["doc_id"] for r in left.collect())[6] in {0, 2}
+    assert not {r["doc_id"] for r in left.collect()} & {i for i, _ in junk}
+    assert kneser_ney.judge(documents(spark, ODD), labels.where("false")).where("NOT kept").count() == 0
+    assert kneser_ney.judge(documents(spark, []), labels).count() == 0
 
 
 def test_limits_cover_all_trusted_documents(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TRUSTED_DOCUMENTS", 60)
-    rows = [(k, prose(k, 60), "aa") for k in range(400)] + [(1000 + k, " ".join(w[::-1] for w in prose(k, 60).split()), "bb") for k in range(110)]
+    monkeypatch.setattr(kneser_ney, "PRIOR_DOCUMENTS", 0)
+    rows = [(k, prose(k, 60), "aa") for k in range(400)] + [(1000 + k, " ".join(w[::-1] for w in prose(k, 60).split()), None) for k in range(110)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id bigint, quality int, toxic int")
-    fitted = [r["doc_id"] for r in kneser_ney.fitted_ids(docs.select("doc_id", "lang")).collect()]
+    fitted = {r["doc_id"] for r in kneser_ney.fitted_ids(docs.select("doc_id", "lang")).collect()}
     assert 15 <= sum(i < 1000 for i in fitted) <= 45 and 15 <= sum(i >= 1000 for i in fitted) <= 45
-    out = kneser_ney.classify(docs, labels).collect()
-    for name in ("aa", "bb"):
-        # Its own limit, over all its documents: 60 fitted ones are fewer than TRUSTED_LEAST.
-        logs = sorted(r["kn_log10"] for r in out if r["lang"] == name)
-        (limit,) = {r["kn_limit"] for r in out if r["lang"] == name}
-        assert limit == pytest.approx(logs[math.ceil(0.995 * len(logs)) - 1] * 1.25, abs=2e-4)
+    out = kneser_ney.judge(docs, labels).collect()
+    for name in ("aa", None):
+        # Its own limit, over all its documents but the fitted ones.
+        logs = sorted(r["perplexity"] for r in out if r["lang"] == name and r["doc_id"] not in fitted)
+        (limit,) = {r["limit"] for r in out if r["lang"] == name}
+        assert limit == pytest.approx(logs[math.ceil(0.995 * len(logs)) - 1] + kneser_ney.MARGIN, abs=2e-4)
 
 
 def test_contained_items(spark):
