@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import cut, table
 from fathomline.llm.decontaminate import drop_contaminated, sized
-from fathomline.llm.kneser_ney import classify
+from fathomline.llm.kneser_ney import drop_rejected
 from fathomline.llm.near_dups import near_duplicates
 from fathomline.llm.q_bpe import encoded
 from fathomline.llm.secrets import redact
@@ -23,7 +23,7 @@ from fathomline.llm.secrets import redact
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return classify(docs, table(spark, sf_dir, "labels")).where("kn_kept").select(*docs.columns)
+    return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
