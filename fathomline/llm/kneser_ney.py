@@ -5,7 +5,7 @@ one before it is a repetition.  The model is fitted on labelled good documents,
 language at most and about TRUSTED_DOCUMENTS in all (languages with few give their half, the others
 equally many).  Counts stay in Spark, sharded by context: counts of counts give the discounts of each
 order, joins of the count tables the probability of every n-gram and the back-off weight of every
-context.  Trigrams seen once are pruned: their mass goes to the back-off weight.
+context.  Trigrams seen less than PRUNED_BELOW times are pruned: their mass goes to the back-off weight.
 
 Scoring.  log p(w | u, v) is a sum of terms, one of w, one of (v, w) and one of (u, v, w), each 0 where the model has no such n-gram.
 So a document's log-probability is the sum of a table's values over its n-grams.  The table is dealt by hash into
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import cut
 from fathomline.llm.decontaminate import sized
 
-TRUSTED_DOCUMENTS = 20_000
+TRUSTED_DOCUMENTS = 5_000
+PRUNED_BELOW = 2
 SLOTS = 1 << 21
 FILTER_BITS, PROBES = 16, 3
 QUANTILE, MARGIN = 0.995, 0.15
@@ -165,17 +166,16 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(k, max(0.1, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] else max(0.1, y) for k in (1, 2, 3)]
 
 
-def _level(counts: DataFrame, context: list[str], lower: DataFrame | float, on: list[str], least: int = 1) -> DataFrame:
-    """p of every n-gram seen `least` times or more (counts n by context and w), interpolated with lower (column p_low by on), and weight, the context's back-off."""
-    d = _discounts(counts)
+def _weights(counts: DataFrame, context: list[str], d: list[float], least: int) -> DataFrame:
+    """context, total and weight (the back-off: what discounts and pruned n-grams leave) of every context of counts (n by context and w)."""
+    discount = F.when(F.col("n") < least, F.col("n")).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    return counts.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held")).select(*context, "total", (F.col("held") / F.col("total")).alias("weight"))
+
+
+def _probability(d: list[float]) -> Column:
+    """p of a seen n-gram, interpolated with p_low."""
     discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    discount = F.when(F.col("n") < least, F.col("n")).otherwise(discount)
-    totals = counts.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-    seen = counts.where(F.col("n") >= least)
-    joined = seen.join(totals, context) if context else seen.crossJoin(F.broadcast(totals))  # no context: one row of totals
-    joined = joined.withColumn("weight", F.col("held") / F.col("total"))
-    low = joined.join(lower, on) if isinstance(lower, DataFrame) else joined.withColumn("p_low", F.lit(lower))
-    return low.withColumn("p", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("p_low"))
+    return F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("p_low")
 
 
 class Model:
@@ -185,14 +185,20 @@ class Model:
         bigrams = cut(trigrams.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("seen")), "bigrams")
         unigrams = cut(bigrams.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("seen").alias("seen")), "unigrams")
         words = unigrams.count()
-        one = cut(_level(unigrams, [], 1.0 / (words + 1), []).select("w", "p", "weight", "seen"), "kn1")
-        two = cut(_level(bigrams, ["v"], one.select("w", F.col("p").alias("p_low")), ["w"]).select("v", "w", "p", "p_low", "weight", "seen"), "kn2")
-        three = _level(trigrams, ["u", "v"], two.select("v", "w", F.col("p").alias("p_low")), ["v", "w"], least=2)
-        first = one.first()
-        self.unknown = float(np.log10((first["weight"] if first else 1.0) / (words + 1)))
+        d1, d2, d3 = map(_discounts, (unigrams, bigrams, trigrams))
+        w1 = _weights(unigrams, [], d1, 1)
+        w2 = cut(_weights(bigrams, ["v"], d2, 1), "contexts1")
+        w3 = cut(_weights(trigrams, ["u", "v"], d3, PRUNED_BELOW), "contexts2")
+        own = w1.first()["weight"]
+        self.unknown = float(np.log10((own if words else 1.0) / (words + 1)))
+        one = unigrams.crossJoin(F.broadcast(w1)).withColumn("p_low", F.lit(1.0 / (words + 1))).select("w", _probability(d1).alias("p"), "seen")  # one row of totals
+        two = bigrams.join(w2, "v").join(one.select("w", F.col("p").alias("p_low")), "w")
+        two = cut(two.select("v", "w", _probability(d2).cast("float").alias("p"), F.col("p_low").cast("float").alias("p_low"), F.col("weight").cast("float").alias("weight"), "seen"), "kn2")
+        three = trigrams.where(F.col("n") >= PRUNED_BELOW).join(w3, ["u", "v"]).join(two.select("v", "w", F.col("p").alias("p_low")), ["v", "w"])
+        three = three.select("u", "v", "w", _probability(d3).alias("p"), "weight", "p_low", "n")
         log = F.log10
-        after_one = two.groupBy(F.col("v").alias("w")).agg(log(F.first("weight")).alias("back"))
-        after_two = self._context_weights(trigrams).select(F.col("u").alias("v"), F.col("v").alias("w"), log("weight").alias("back"))
+        after_one = w2.select(F.col("v").alias("w"), log("weight").alias("back"))
+        after_two = w3.select(F.col("u").alias("v"), F.col("v").alias("w"), log("weight").alias("back"))
         nothing = F.lit(0.0)
         v1 = one.join(after_one, "w", "full").select(
             F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"), "w",
@@ -213,12 +219,6 @@ class Model:
 
         self.values = v1.unionByName(v2).unionByName(v3).select("u", "v", "w", F.col("value").cast("float"), "n").mapInArrow(keyed, "key bigint, value float, n bigint")
 
-    def _context_weights(self, trigrams: DataFrame) -> DataFrame:
-        """u, v, weight of every context of two words."""
-        d = _discounts(trigrams)
-        discount = F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        return trigrams.groupBy("u", "v").agg((F.sum(discount) / F.sum("n")).alias("weight"))
-
 
 class Tables:
     """What workers hold (slots' keys and values, the filter of the rest), and the rest of the table (key, value)."""
