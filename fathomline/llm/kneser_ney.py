@@ -1,11 +1,11 @@
 r"""Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-Model.  Tokens are all words `[^\x20\x09-\x0D]+` and an end mark, as 64-bit hashes; a word that repeats the
+Model.  Tokens are all words `[^\x20\x09-\x0D]+` and an end mark, as 48-bit hashes; a word that repeats the
 one before it is a repetition.  The model is fitted on labelled good documents, by hash on one half of every
 language at most and about TRUSTED_DOCUMENTS in all (languages with few give their half, the others
 equally many).  Counts stay in Spark, sharded by context: counts of counts give the discounts of each
 order, joins of the count tables the probability of every n-gram and the back-off weight of every
-context.  Trigrams seen less than PRUNED_BELOW times are pruned: their mass goes to the back-off weight.
+context.  Bigrams and trigrams whose count is below PRUNED_BELOW are pruned: their mass goes to the back-off weight.
 
 Scoring.  log p(w | u, v) is a sum of terms, one of w, one of (v, w) and one of (u, v, w), each 0 where the model has no such n-gram.
 So a document's log-probability is the sum of a table's values over its n-grams.  The table is dealt by hash into
@@ -43,7 +43,7 @@ from fathomline.llm.decontaminate import sized
 
 TRUSTED_DOCUMENTS = 5_000
 PRUNED_BELOW = 2
-SLOTS = 1 << 21
+SLOTS, SLOTS_A_BLOCK = 1 << 20, 1 << 16
 FILTER_BITS, PROBES = 16, 3
 QUANTILE, MARGIN = 0.995, 0.15
 PRIOR_DOCUMENTS, PRIOR_TOKENS = 100, 20
@@ -68,7 +68,7 @@ class Ids(dict):
 
         if len(self) > MEMO:
             self.clear()
-        self[word] = got = xxhash.xxh64_intdigest(word)
+        self[word] = got = xxhash.xxh64_intdigest(word) >> 16
         return got
 
     def of(self, text: bytes) -> np.ndarray:
@@ -187,14 +187,17 @@ class Model:
         words = unigrams.count()
         d1, d2, d3 = map(_discounts, (unigrams, bigrams, trigrams))
         w1 = _weights(unigrams, [], d1, 1)
-        w2 = cut(_weights(bigrams, ["v"], d2, 1), "contexts1")
-        w3 = cut(_weights(trigrams, ["u", "v"], d3, PRUNED_BELOW), "contexts2")
+        w2 = cut(_weights(bigrams, ["v"], d2, PRUNED_BELOW), "contexts1")
+        # A context of which all n-grams are pruned has a back-off weight of 1.
+        w3 = cut(_weights(trigrams, ["u", "v"], d3, PRUNED_BELOW).where("weight < 1"), "contexts2")
         own = w1.first()["weight"]
         self.unknown = float(np.log10((own if words else 1.0) / (words + 1)))
         one = unigrams.crossJoin(F.broadcast(w1)).withColumn("p_low", F.lit(1.0 / (words + 1))).select("w", _probability(d1).alias("p"), "seen")  # one row of totals
-        two = bigrams.join(w2, "v").join(one.select("w", F.col("p").alias("p_low")), "w")
-        two = cut(two.select("v", "w", _probability(d2).cast("float").alias("p"), F.col("p_low").cast("float").alias("p_low"), F.col("weight").cast("float").alias("weight"), "seen"), "kn2")
-        three = trigrams.where(F.col("n") >= PRUNED_BELOW).join(w3, ["u", "v"]).join(two.select("v", "w", F.col("p").alias("p_low")), ["v", "w"])
+        two = bigrams.where(F.col("n") >= PRUNED_BELOW).join(w2, "v").join(one.select("w", F.col("p").alias("p_low")), "w")
+        two = cut(two.select("v", "w", _probability(d2).alias("p"), "p_low", "weight", "seen"), "kn2")
+        three = trigrams.where(F.col("n") >= PRUNED_BELOW).join(w3, ["u", "v"]).withColumnsRenamed({"total": "total3", "weight": "weight3"})
+        three = three.join(two.select("v", "w", F.col("p").alias("p2")), ["v", "w"], "left").join(w2, "v").join(one.select("w", F.col("p").alias("p1")), "w")
+        three = three.select("u", "v", "w", "n", F.col("total3").alias("total"), F.coalesce("p2", F.col("weight") * F.col("p1")).alias("p_low"), F.col("weight3").alias("weight"))
         three = three.select("u", "v", "w", _probability(d3).alias("p"), "weight", "p_low", "n")
         log = F.log10
         after_one = w2.select(F.col("v").alias("w"), log("weight").alias("back"))
@@ -229,10 +232,20 @@ class Tables:
         table = cut(ranked.select("key", "value", (F.col("at") == 1).alias("head")), "values")
         self.unknown = model.unknown
         self.keys, self.values = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.float32)
-        self.keys[0] = 1  # no key of slot 0
-        head = table.where("head").select("key", "value").toPandas()  # SLOTS rows at most
-        at = head["key"].to_numpy(np.int64) % SLOTS
-        self.keys[at], self.values[at] = head["key"], head["value"]
+
+        def packed(frame: pd.DataFrame) -> pd.DataFrame:
+            at = frame["key"].to_numpy() % SLOTS
+            block = at[0] // SLOTS_A_BLOCK
+            keys, values = np.zeros(SLOTS_A_BLOCK, np.int64), np.zeros(SLOTS_A_BLOCK, np.float32)
+            keys[at % SLOTS_A_BLOCK], values[at % SLOTS_A_BLOCK] = frame["key"], frame["value"]
+            return pd.DataFrame({"block": [block], "keys": [keys.tobytes()], "vals": [values.tobytes()]})
+
+        heads = table.where("head").select("key", "value").groupBy(F.floor(slot / SLOTS_A_BLOCK)).applyInPandas(packed, "block bigint, keys binary, vals binary")
+        for row in heads.toLocalIterator():  # SLOTS n-grams at most
+            at = row["block"] * SLOTS_A_BLOCK
+            keys, values = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["vals"], np.float32)
+            self.keys[at : at + len(keys)], self.values[at : at + len(keys)] = keys, values
+        self.keys[0] = self.keys[0] or 1  # an empty slot 0 has no key of its own
         self.rest = table.where("NOT head").select("key", "value")
         self.bits = 1 << max(16, int(self.rest.count() * FILTER_BITS).bit_length())
         self.filter = self._filter(self.bits)

@@ -230,7 +230,7 @@ def test_lm_is_a_distribution():
 
 
 def plain_kneser_ney(texts):
-    """p(w | u, v) of an interpolated modified Kneser-Ney model, trigrams seen once pruned, by plain counting."""
+    """p(w | u, v) of an interpolated modified Kneser-Ney model, bigrams and trigrams seen once pruned, by plain counting."""
     tri = collections.Counter()
     for t in texts:
         s = ["<s>", "<s>", *marked(t), "</s>"]
@@ -259,7 +259,7 @@ def plain_kneser_ney(texts):
         return p
 
     one = level(collections.Counter({(w,): n for w, n in uni.items()}), 1, lambda: 1 / (len(uni) + 1))
-    return level(tri, 2, level(bi, 1, one))
+    return level(tri, 2, level(bi, 2, one))
 
 
 def marked(text):
@@ -270,9 +270,10 @@ def marked(text):
     return out
 
 
-@pytest.mark.parametrize("slots", [1 << 21, 64])
+@pytest.mark.parametrize("slots", [1 << 14, 64])
 def test_kneser_ney_scores(spark, monkeypatch, slots):
     monkeypatch.setattr(kneser_ney, "SLOTS", slots)
+    monkeypatch.setattr(kneser_ney, "SLOTS_A_BLOCK", 32)
     rows = [(k, " ".join(w.rstrip("0123456789") for w in prose(k, 60).split())) for k in range(30)]
     p = plain_kneser_ney([t for _, t in rows])
     unseen = [(700, "new words the gold ship the the the the river"), (701, None), (702, prose(4, 3000))]
