@@ -35,6 +35,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,24 +227,24 @@ class Model:
 class Tables:
     """What workers hold (slots' keys and values, the filter of the rest), and the rest of the table (key, value)."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, kind: type = np.float32):
         slot = F.pmod(F.col("key"), F.lit(SLOTS))
         ranked = model.values.withColumn("at", F.row_number().over(Window.partitionBy(slot).orderBy(F.desc("n"), "key")))
         table = cut(ranked.select("key", "value", (F.col("at") == 1).alias("head")), "values")
         self.unknown = model.unknown
-        self.keys, self.values = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.float32)
+        self.keys, self.values = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, kind)
 
         def packed(frame: pd.DataFrame) -> pd.DataFrame:
             at = frame["key"].to_numpy() % SLOTS
             block = at[0] // SLOTS_A_BLOCK
-            keys, values = np.zeros(SLOTS_A_BLOCK, np.int64), np.zeros(SLOTS_A_BLOCK, np.float32)
+            keys, values = np.zeros(SLOTS_A_BLOCK, np.int64), np.zeros(SLOTS_A_BLOCK, kind)
             keys[at % SLOTS_A_BLOCK], values[at % SLOTS_A_BLOCK] = frame["key"], frame["value"]
             return pd.DataFrame({"block": [block], "keys": [keys.tobytes()], "vals": [values.tobytes()]})
 
         heads = table.where("head").select("key", "value").groupBy(F.floor(slot / SLOTS_A_BLOCK)).applyInPandas(packed, "block bigint, keys binary, vals binary")
         for row in heads.toLocalIterator():  # SLOTS n-grams at most
             at = row["block"] * SLOTS_A_BLOCK
-            keys, values = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["vals"], np.float32)
+            keys, values = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["vals"], kind)
             self.keys[at : at + len(keys)], self.values[at : at + len(keys)] = keys, values
         self.keys[0] = self.keys[0] or 1  # an empty slot 0 has no key of its own
         self.rest = table.where("NOT head").select("key", "value")
@@ -279,9 +280,9 @@ def probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (_mixed(keys * _MUL[k] + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHARS_A_SLICE bytes of text (column 3) each, at least a row."""
-    upto = np.cumsum([len(value.as_buffer()) if value.is_valid else 0 for value in batch.column(3)])
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about CHARS_A_SLICE bytes in the given column each, at least a row."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     edges = np.flatnonzero(np.r_[True, np.diff(upto // CHARS_A_SLICE) > 0, True]) if len(upto) else []
     for low, high in itertools.pairwise(edges):
         yield batch.slice(low, high - low)
@@ -302,7 +303,7 @@ def log_probabilities(docs: DataFrame, model: Model, key: str = "doc_id", text:
             _loaded[name] = shipped.value
         own_keys, own_values, marked, bits = _loaded[name]
         ids = Ids()
-        for batch in itertools.chain.from_iterable(map(slices, batches)):
+        for batch in itertools.chain.from_iterable(slices(b, 3) for b in batches):
             rows = [ids.of(value) for value in batch.column(3).to_pylist()]
             n_tokens = np.array([len(r) - 2 for r in rows])
             total = n_tokens * unknown

@@ -204,24 +204,50 @@ def test_lm_base_and_held_out(spark):
     assert maxent_lm.train_and_score(documents(spark, []), held).count() == 0
 
 
-def test_lm_beyond_the_head(spark, monkeypatch):
-    rows = [(k, prose(k, 80)) for k in range(40)]
-    held = F.col("doc_id") % 5 == 2
-    whole = {r["doc_id"]: r for r in maxent_lm.train_and_score(documents(spark, rows), held).collect()}
-    monkeypatch.setattr(maxent_lm, "HEAD", 300)
-    some = {r["doc_id"]: r for r in maxent_lm.train_and_score(documents(spark, rows), held).collect()}
-    for i, r in whole.items():
-        assert (r["n_known"], r["n_tokens"]) == (some[i]["n_known"], some[i]["n_tokens"])
-        assert r["score"] == pytest.approx(some[i]["score"]) and r["base_score"] == pytest.approx(some[i]["base_score"])
+@pytest.mark.parametrize("slots", [1 << 14, 64])
+def test_lm_scores_by_plain_sums(spark, monkeypatch, slots):
+    """Every term of the model summed by word, with and without joined terms; words of a bucket make a distribution."""
+    import numpy as np
+
+    monkeypatch.setattr(kneser_ney, "SLOTS", slots)
+    monkeypatch.setattr(kneser_ney, "SLOTS_A_BLOCK", 32)
+    monkeypatch.setattr(maxent_lm, "FEATURE_COUNT", 1)
+    rows = [(k, prose(k, 80)) for k in range(60)] + [(900, "the the unseen word"), (None, None), (901, prose(5, 2000)), (901, prose(5, 2000))]
+    docs = documents(spark, rows)
+    words = maxent_lm.word_counts(docs.where("doc_id < 900"))
+    lexicon = maxent_lm.Lexicon(words, 60)
+    pairs = maxent_lm.pair_counts(docs.where("doc_id < 900"), lexicon)
+    weights = maxent_lm.fit(pairs.where("key < 16777216"), 2)
+    found, logs = maxent_lm.fit_features(pairs, words, lexicon)
+    ids, count = maxent_lm.Ids(), {r["key"]: r["n"] for r in words.collect()}
+    f = {(r["last"], r["short"]): r["f"] for r in found.collect()}
+    assert f and count == collections.Counter(int(i) for k, t in rows if k is not None and k < 900 for i in ids.of(t.encode()))
+    contexts, want = maxent_lm.Contexts(weights), []
+    for i, t in rows:
+        w = ids.of((t or "").encode())
+        s, total = maxent_lm.padded(maxent_lm.symbols(w, lexicon.own)), 0.0
+        for k in range(2, len(s)):
+            total += float(contexts.of(np.array([s[k - 2] * 256 + s[k - 1]]), s[k : k + 1])[0])
+            if s[k] >= maxent_lm.FIRST_BUCKET:
+                c, more = count.get(int(w[k - 2]), 0), f.get((int(s[k - 1]), int(w[k - 2]) >> 15), 0.0)
+                total += math.log10((c + 1) / lexicon.norms[s[k]]) + more / math.log(10) - logs[s[k - 1], s[k]]
+        want.append((i, len(w) + 1, pytest.approx(total, rel=1e-5, abs=1e-4)))
+    out = maxent_lm.score(docs, lexicon, weights, maxent_lm._values(words, found), logs).collect()
+    key = lambda r: (r[0] is None, r[0], r[1])
+    assert sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in out), key=key) == sorted(want, key=key)
+    last, bucket = next((a, maxent_lm.FIRST_BUCKET + b % maxent_lm.BUCKETS) for a, b in f)
+    mass = sum((n + 1) * math.exp(f.get((last, i >> 15), 0.0)) for i, n in count.items() if maxent_lm.symbols(np.array([i]), lexicon.own)[0] == bucket) + 1
+    assert mass / lexicon.norms[bucket] == pytest.approx(10 ** logs[last, bucket])
 
 
 def test_lm_is_a_distribution():
     import numpy as np
 
     w = np.random.default_rng(1).normal(0, 0.3, (maxent_lm.FEATURES, maxent_lm.WIDTH)).astype(np.float32)
-    assert np.allclose((10.0 ** maxent_lm.table(w)[: 256 * 300].reshape(300, 256)).sum(1), 1, atol=1e-4)
+    every = np.arange(256 * 300)
+    assert np.allclose((10.0 ** maxent_lm.Contexts(w).of(every // 256, every % 256).reshape(300, 256)).sum(1), 1, atol=1e-4)
     keys, counts = np.array([5, 70000, 70001, 300]), np.array([3, 1, 2, 4])
-    value = lambda x: float((np.log(10) * maxent_lm.table(x).astype(np.float64)[keys] * counts).sum())
+    value = lambda x: float((np.log(10) * maxent_lm.Contexts(x).of(keys // 256, keys % 256).astype(np.float64) * counts).sum())
     g = maxent_lm.gradient(w, keys, counts)
     f = maxent_lm.features(keys // 256)[0][1]
     step = np.zeros_like(w)
