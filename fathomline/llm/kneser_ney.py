@@ -45,7 +45,8 @@ from fathomline.llm.decontaminate import sized
 TRUSTED_DOCUMENTS = 5_000
 PRUNED_BELOW = 2
 SLOTS, SLOTS_A_BLOCK = 1 << 20, 1 << 16
-FILTER_BITS, PROBES = 16, 3
+#: The filter has 2**MOST_BITS bits at most (16 MB); in a fuller one more n-grams leave the workers in vain.
+FILTER_BITS, MOST_BITS, PROBES = 16, 27, 3
 QUANTILE, MARGIN = 0.995, 0.15
 PRIOR_DOCUMENTS, PRIOR_TOKENS = 100, 20
 #: Bins of log10 perplexity per unit; a limit is the upper edge of its bin.
@@ -248,7 +249,7 @@ class Tables:
             self.keys[at : at + len(keys)], self.values[at : at + len(keys)] = keys, values
         self.keys[0] = self.keys[0] or 1  # an empty slot 0 has no key of its own
         self.rest = table.where("NOT head").select("key", "value")
-        self.bits = 1 << max(16, int(self.rest.count() * FILTER_BITS).bit_length())
+        self.bits = 1 << min(MOST_BITS, max(16, int(self.rest.count() * FILTER_BITS).bit_length()))
         self.filter = self._filter(self.bits)
 
     def _filter(self, bits: int) -> np.ndarray:

@@ -227,10 +227,12 @@ def test_lm_scores_by_plain_sums(spark, monkeypatch, slots):
         w = ids.of((t or "").encode())
         s, total = maxent_lm.padded(maxent_lm.symbols(w, lexicon.own)), 0.0
         for k in range(2, len(s)):
-            total += float(contexts.of(np.array([s[k - 2] * 256 + s[k - 1]]), s[k : k + 1])[0])
+            own = max(j for j in range(k) if s[j] < maxent_lm.FIRST_BUCKET)
+            last, before = int(s[own]), min(int(s[k - 2]), maxent_lm.FIRST_BUCKET) if own == k - 1 else maxent_lm.SKIPPED
+            total += float(contexts.of(np.array([before * 256 + last]), s[k : k + 1])[0])
             if s[k] >= maxent_lm.FIRST_BUCKET:
-                c, more = count.get(int(w[k - 2]), 0), f.get((int(s[k - 1]), int(w[k - 2]) >> 15), 0.0)
-                total += math.log10((c + 1) / lexicon.norms[s[k]]) + more / math.log(10) - logs[s[k - 1], s[k]]
+                c, more = count.get(int(w[k - 2]), 0), f.get((last, int(w[k - 2]) >> 15), 0.0)
+                total += math.log10((c + 1) / lexicon.norms[s[k]]) + more / math.log(10) - logs[last, s[k]]
         want.append((i, len(w) + 1, pytest.approx(total, rel=1e-5, abs=1e-4)))
     out = maxent_lm.score(docs, lexicon, weights, maxent_lm._values(words, found), logs).collect()
     key = lambda r: (r[0] is None, r[0], r[1])
