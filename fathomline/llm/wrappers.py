@@ -4,16 +4,16 @@ A page becomes a stream of tags (with class) and text places.  Adjacent equal ru
 repeated group `( )+`, so a page's stream is already a small expression.  Pages of one host are
 aligned, two expressions at a time: what both have stays, what only one has becomes an optional
 group `( )?`, and places whose text differs become text slots.  The result is the host's wrapper,
-an expression without unions that matches its pages.  Pages with equal expressions are aligned
-once; the rest are merged in HOST_PARTS parts a host and then the parts, so no host's pages meet in
-one task.  An expression of MOST_ITEMS items or more is no template any more: the wrapper keeps its
-first form, which affects nothing but the fallback below.
+an expression without unions that matches its pages.  Pages with equal expressions are aligned once; the others of a host are merged in groups of about MERGED
+by hash, and so are their results, until one is left: no host's pages meet in one task.
 
-A slot is known by its path of containers.  Slots under menus, headers, footers, sidebars, notices,
-adverts, forms and comments are dropped, by tag or by words of class and id.  If the page has an
-article (or a main part), the slots under it are the main text.  Else the wrapper tells: of the
-containers of the host's slots, the one with the most text in variable slots outside links holds it.
-A page whose slots are not in its wrapper is judged by its own text alone.
+The wrapper decides what a page's text is.  Its slots (the text places of the expression) are told apart by
+their path of containers, and have figures over all pages of the host: how many pages fill them, with how
+much text, and whether it is always the same.  Slots under menus, headers, footers, sidebars, notices,
+adverts, forms and comments are no content, by tag or by words of class and id.  Of the rest, the main group of the
+wrapper is its article, else its main part, else the group that holds the most variable text outside links.
+A page is read with the list of its host's content slots.  Only a page that fills none of them is judged by itself, by
+the same rules; column `by_wrapper` tells.
 
 Defined results: a null html is empty and gives an empty text; unclosed, crossed and cut-off tags are
 read as browsers do in the main (a tag closes those opened within it; p, li, dt, dd, tr, td, th and
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -34,9 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import cut
+from fathomline.llm.decontaminate import sized
 
-HOST_PARTS = 16
-MOST_ITEMS = 2000
+MERGED = 32
+#: Sequences of more items are aligned without their most frequent items, which are added as neighbours of the others.
+QUICK_FROM = 2000
+#: Items of a run that is looked for as a repetition.
 LONGEST_GROUP = 12
 BROADCAST_CHARS = 32_000_000
 
@@ -74,7 +78,7 @@ def label(tag: str, rest: str) -> str:
 
 
 def read(html: str) -> tuple[list[str], list[Text]]:
-    """The page's structural tokens ('#' for text) and its text places in order."""
+    """The page's structural tokens ('#' and the path for text) and its text places in order."""
     stack: list[str] = []
     tokens: list[str] = []
     places: list[Text] = []
@@ -88,7 +92,7 @@ def read(html: str) -> tuple[list[str], list[Text]]:
         if (text := m["text"]) is not None:
             blank = not text.strip()
             if not blank:
-                tokens.append("#")
+                tokens.append("#" + "/".join(stack))
             if not blank or places:
                 value = unescape(text) if "&" in text else text
                 places.append(("/".join(stack), (" " if edge else "") + value, any(s == "a" or s.startswith("a.") for s in stack)))
@@ -147,18 +151,17 @@ def _bare(item) -> str:
 
 def merge(one: list, other: list) -> list:
     """An expression for what either matches: common items stay, others become optional groups."""
-    if one == other or len(one) >= MOST_ITEMS:
+    if one == other:
         return one
     out: list = []
-    for how, a, b, c, d in SequenceMatcher(None, [_bare(x) for x in one], [_bare(x) for x in other], autojunk=False).get_opcodes():
+    matcher = SequenceMatcher(None, [_bare(x) for x in one], [_bare(x) for x in other], autojunk=max(len(one), len(other)) > QUICK_FROM)
+    for how, a, b, c, d in matcher.get_opcodes():
         if how == "equal":
             out += [x if isinstance(x, list) and x[0] == "?" else y for x, y in zip(one[a:b], other[c:d], strict=True)]
             continue
         for part in (one[a:b], other[c:d]):
             for item in part:
-                group = item if isinstance(item, list) and item[0] == "?" else ["?", [item]]
-                if group not in out[-4:]:
-                    out.append(group)
+                out.append(item if isinstance(item, list) and item[0] == "?" else ["?", [item]])
     return out
 
 
@@ -200,67 +203,81 @@ def container(slots: dict[str, int]) -> str:
     return max(held, key=lambda p: (held[p], -len(p))) if held else ""
 
 
-def extract(html: str, wrapper_container: str | None) -> str:
-    """The main text; wrapper_container: where the host's wrapper has it, for pages without an article."""
+def slots_of(expression: list) -> set[str]:
+    """Paths of the text slots of an expression, optional and repeated ones included."""
+    found: set[str] = set()
+    for item in expression:
+        if isinstance(item, list):
+            found |= slots_of(item[1])
+        elif item.startswith("#"):
+            found.add(item[1:])
+    return found
+
+
+def content(slots: dict[str, tuple[int, bool]]) -> list[str]:
+    """The paths that hold the main text; slots: characters outside links, and whether the text varies, by path."""
+    kept = [p for p in slots if not dropped(p)]
+    mains = {p: m for p in kept if (m := main_prefix(p)) is not None}
+    if articles := [p for p, m in mains.items() if m.rpartition("/")[2].partition(".")[0] == "article"]:
+        return articles
+    if mains:
+        return list(mains)
+    prefix = container({p: slots[p][0] for p in kept if slots[p][1]} or {p: slots[p][0] for p in kept})
+    return [p for p in kept if not prefix or p == prefix or p.startswith(prefix + "/")]
+
+
+def extract(html: str, wanted: frozenset[str]) -> tuple[str, bool]:
+    """The main text, and whether the host's wrapper tells it; wanted: paths of the content slots of the wrapper."""
     _, places = read(html)
-    kept = [(p, t, link) for p, t, link in places if not dropped(p)]
-    mains = {p: m for p in {p for p, _, _ in kept} if (m := main_prefix(p)) is not None}
-    for level in (lambda m: m.rpartition("/")[2].partition(".")[0] == "article", lambda m: True):
-        if some := {p for p, m in mains.items() if level(m)}:
-            chosen = some.__contains__
-            break
-    else:
-        if not wrapper_container or not any(p == wrapper_container or p.startswith(wrapper_container + "/") for p, _, _ in kept):
-            slots: dict[str, int] = defaultdict(int)
-            for p, t, link in kept:
-                slots[p] += 0 if link else len(t)
-            wrapper_container = container(slots)
-        prefix = wrapper_container
-        chosen = lambda p: not prefix or p == prefix or p.startswith(prefix + "/")
+    told = any(p in wanted and t.strip() for p, t, _ in places)
+    if not told:
+        own: dict[str, tuple[int, bool]] = {}
+        for p, t, link in places:
+            own[p] = (own.get(p, (0, True))[0] + (0 if link else len(t)), True)
+        wanted = frozenset(content(own))
     pieces, gap = [], False
     for p, t, _ in places:
-        if not dropped(p) and chosen(p):
+        if p in wanted:
             pieces.append((" " if gap else "") + t)
             gap = False
         else:
             gap = True
-    return " ".join("".join(pieces).split())
+    return " ".join("".join(pieces).split()), told
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def _digest(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (expression as JSON) and container (path of the main text) of every host."""
+    """host, wrapper (expression as JSON) and content (JSON list of the paths of its content slots) of every host."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages_of: dict[tuple[str, str, str], list] = defaultdict(lambda: [0, 0, None])
+            rows_of: dict[tuple[str, str, str], list] = {}
             for name, page in zip(batch["host"], batch["html"], strict=True):
                 tokens, places = read(page)
-                pages_of[name, "expression", json.dumps(fold(tokens))][0] += 1
-                slots: dict[str, str] = defaultdict(str)
+                rows_of.setdefault((name, "expression", json.dumps(fold(tokens))), [0, 0, 0, 0])[0] += 1
+                slots: dict[str, list] = defaultdict(lambda: [[], 0])
                 for path, text, link in places:
-                    if not link and not dropped(path):
-                        slots[path] += text
-                for path, text in slots.items():
-                    row = pages_of[name, "slot", path]
-                    row[0] += 1
-                    row[1] += len(text)
-                    # A text that is the same on all pages is no slot: remember it while it is.
-                    row[2] = text[:200] if row[2] is None or row[2] == text[:200] else ""
-            rows = [(*k, n, chars, same) for k, (n, chars, same) in pages_of.items()]
-            yield pd.DataFrame(rows, columns=["host", "kind", "value", "n", "chars", "same"])
+                    slots[path][0].append(text)
+                    slots[path][1] += 0 if link else len(text)
+                for path, (texts, chars) in slots.items():
+                    same = _digest("".join(texts))
+                    row = rows_of.setdefault((name, "slot", path), [0, 0, same, same])
+                    row[:] = row[0] + 1, row[1] + chars, min(row[2], same), max(row[3], same)
+            yield pd.DataFrame([(*k, *v) for k, v in rows_of.items()], columns=["host", "kind", "value", "n", "chars", "low", "high"])
 
     given = pages.select(host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    found = given.mapInPandas(parts, "host string, kind string, value string, n bigint, chars bigint, same string")
-    summed = cut(
-        found.groupBy("host", "kind", "value").agg(
-            F.sum("n").alias("n"), F.sum("chars").alias("chars"), (F.min("same") == F.max("same")).alias("one"), F.max("same").alias("same")
-        ),
-        "page-parts",
-    )
+    found = given.mapInPandas(parts, "host string, kind string, value string, n bigint, chars bigint, low bigint, high bigint")
+    sums = [F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")]
+    summed = cut(found.groupBy("host", "kind", "value").agg(*sums), "page-parts")
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "value"], ascending=[False, True])
@@ -269,30 +286,47 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             out = merge(out, json.loads(value))
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "value": [json.dumps(fold(out))], "n": [frame["n"].sum()]})
 
-    expressions = summed.where("kind = 'expression'").select("host", "value", "n", F.pmod(F.xxhash64("value"), F.lit(HOST_PARTS)).alias("part"))
-    some = expressions.groupBy("host", "part").applyInPandas(merged, "host string, value string, n bigint")
-    wrappers = some.groupBy("host").applyInPandas(merged, "host string, value string, n bigint")
+    expressions = summed.where("kind = 'expression'").select("host", "value", "n")
+    while True:
+        counts = cut(expressions.groupBy("host").agg(F.count(F.lit(1)).alias("of")), "hosts")
+        if (counts.agg(F.max("of")).first()[0] or 1) == 1:
+            break
+        groups = F.ceil(F.col("of") / MERGED).alias("groups")
+        dealt = expressions.join(sized(counts.select("host", groups), counts.count()), "host")
+        dealt = dealt.withColumn("part", F.when(F.col("groups") > 1, F.pmod(F.xxhash64("value"), F.col("groups"))).otherwise(F.lit(0)))
+        expressions = cut(dealt.groupBy("host", "part").applyInPandas(merged, "host string, value string, n bigint"), "expressions")
 
-    # The container with the most text in slots: constant text of three pages or more is part of the template.
-    variable = summed.where("kind = 'slot'").where(~((F.col("n") >= 3) & F.coalesce(F.col("one") & (F.col("same") != ""), F.lit(False))))
+    # A text of three pages or more that is always the same is part of the template.
+    varies = (F.col("n") < 3) | (F.col("low") != F.col("high"))
+    slots = summed.where("kind = 'slot'").groupBy("host").agg(F.collect_list(F.struct("value", "chars", varies.alias("varies"))).alias("slots"))  # the paths of a template
 
-    def contained(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "container": [container(dict(zip(frame["value"], frame["chars"], strict=True)))]})
+    @F.pandas_udf("string")
+    def told(wrapper: pd.Series, slots: pd.Series) -> pd.Series:
+        out = []
+        for expression, rows in zip(wrapper, slots, strict=True):
+            inside = slots_of(json.loads(expression))
+            figures = {r["value"]: (r["chars"], r["varies"]) for r in (rows if rows is not None else [])}
+            out.append(json.dumps(sorted(content({p: f for p, f in figures.items() if p in inside} or figures))))
+        return pd.Series(out, dtype=object)
 
-    containers = variable.groupBy("host").applyInPandas(contained, "host string, container string")
-    return wrappers.select("host", F.col("value").alias("wrapper")).join(containers, "host", "left")
+    wrappers = expressions.select("host", F.col("value").alias("wrapper")).join(slots, "host", "left")
+    return wrappers.select("host", "wrapper", told("wrapper", "slots").alias("content"))
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with text, the main text of every page."""
+    """pages with text, the main text of every page, and by_wrapper; columns of these names are replaced."""
     wrappers = cut(infer_wrappers(pages, url, html), "wrappers")
-    places = wrappers.select(F.col("host").alias("_host"), F.col("container").alias("_container"))
-    size = wrappers.agg(F.sum(F.length("host") + F.coalesce(F.length("container"), F.lit(0)))).first()[0] or 0
-    places = F.broadcast(places) if size <= BROADCAST_CHARS else places
-
-    @F.pandas_udf("string")
-    def main_text(htmls: pd.Series, containers: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, c) for h, c in zip(htmls, containers, strict=True)], dtype=object)
-
-    joined = pages.join(places, host(F.col(url)) == F.col("_host"), "left")
-    return joined.withColumn("text", main_text(F.coalesce(F.col(html), F.lit("")), F.col("_container"))).drop("_host", "_container")
+    hosts = uuid.uuid4().hex
+    told = wrappers.select(F.col("host").alias(f"host-{hosts}"), F.col("content").alias(f"content-{hosts}"))
+    size = wrappers.agg(F.sum(F.length("host") + F.length("content"))).first()[0] or 0
+    told = F.broadcast(told) if size <= BROADCAST_CHARS else told
+
+    @F.pandas_udf("text string, by_wrapper boolean")
+    def main_text(htmls: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        lists = {c: frozenset(json.loads(c)) if c is not None else frozenset() for c in contents.unique()}
+        return pd.DataFrame([extract(h, lists[c]) for h, c in zip(htmls, contents, strict=True)], columns=["text", "by_wrapper"])
+
+    joined = pages.join(told, host(pages[url]) == F.col(f"host-{hosts}"), "left")
+    out = joined.withColumn(f"out-{hosts}", main_text(F.coalesce(pages[html], F.lit("")), F.col(f"content-{hosts}")))
+    kept = [pages[c] for c in pages.columns if c not in {"text", "by_wrapper"}]
+    return out.select(*kept, F.col(f"out-{hosts}.text").alias("text"), F.col(f"out-{hosts}.by_wrapper").alias("by_wrapper"))

@@ -480,4 +480,43 @@ def test_main_text(spark):
     assert out[5] == "" and out[6] == "" and out[7] == "plain text only" and out[8].startswith("cut off")
     assert wrappers.extract_text(df).count() == len(rows) and wrappers.extract_text(df.where("false")).count() == 0
     found = {r["host"]: r for r in wrappers.infer_wrappers(df).collect()}
-    assert '["+", ["li", "a", "#", "/a", "/li"]]' in found["a.example"]["wrapper"] and '"?"' in found["a.example"]["wrapper"]
+    assert '["+", ["li", "a", "#html/body/nav/ul/li/a", "/a", "/li"]]' in found["a.example"]["wrapper"] and '"?"' in found["a.example"]["wrapper"]
+
+
+def test_wrapper_of_a_generated_template(spark, monkeypatch):
+    """Pages of one template, with optional and repeated parts: the wrapper has all of them, and tells body from template."""
+    monkeypatch.setattr(wrappers, "MERGED", 3)
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(40):
+        body = [prose(1000 * k + j, rng.randrange(5, 30)) for j in range(rng.randrange(1, 6))]
+        note = f"<blockquote>{prose(k, 8)}</blockquote>" if k % 3 else ""
+        table = "".join(f"<tr><td>{prose(k + j, 2)}</td></tr>" for j in range(k % 4))
+        html = f"<html><body><div class='top'><b>The site of everything there is, and a long line that all pages have, word for word {'again ' * 40}</b></div><div id='x'>" + "".join(f"<p>{b}</p>" for b in body)
+        rows.append((k, "http://t.example/" + str(k), html + note + (f"<table>{table}</table>" if table else "") + "</div><div class='end'>All rights</div></body></html>", "t", 1))
+        want[k] = " ".join([*body, *([prose(k, 8)] if note else []), *[prose(k + j, 2) for j in range(k % 4)]])
+    deep = "<div>" * 3000 + "deep text " + "</div>" * 3000
+    rows += [(100, "http://deep.example/", deep, None, None), (101, "http://deep.example/", deep * 2, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, text string, by_wrapper int")
+    out = {r["page_id"]: r for r in wrappers.extract_text(df).collect()}
+    assert {k: out[k]["text"] for k in want} == want and all(r["by_wrapper"] for r in out.values())
+    assert out[100]["text"] == "deep text" and out[101]["text"] == "deep text deep text"
+    (wrapper,) = [r["wrapper"] for r in wrappers.infer_wrappers(df).where("host = 't.example'").collect()]
+    assert {"html/body/div.x/p", "html/body/div.x/blockquote", "html/body/div.x/table/tr/td"} <= wrappers.slots_of(__import__("json").loads(wrapper))
+    assert '["?", ["blockquote"' in wrapper and '"+"' in wrapper
+
+
+def test_alignment_covers_both(spark):
+    """What either sequence has is in the merged one, in order."""
+    rng = random.Random(5)
+
+    def flat(items):
+        return [x for i in items for x in (flat(i[1]) if isinstance(i, list) else [i])]
+
+    def within(short, long):
+        rest = iter(long)
+        return all(x in rest for x in short)
+
+    for _ in range(100):
+        one, other = ([rng.choice("abcde") for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        both = flat(wrappers.merge(one, other))
+        assert within(one, both) and within(other, both), (one, other, both)
