@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, one of our own if Spark runs on this machine alone."""
+    if set_folder := spark.conf.get("spark.checkpoint.dir", None):
+        return set_folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
+    return _own_folder()
 
 
 @functools.cache
