@@ -35,11 +35,10 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut
+from fathomline.llm.common import cut, slices
 from fathomline.llm.decontaminate import sized
 
 TRUSTED_DOCUMENTS = 5_000
@@ -51,11 +50,9 @@ QUANTILE, MARGIN = 0.995, 0.15
 PRIOR_DOCUMENTS, PRIOR_TOKENS = 100, 20
 #: Bins of log10 perplexity per unit; a limit is the upper edge of its bin.
 BINS = 10_000
-MEMO = 400_000
-PARTIAL = 400_000
+MEMO = 200_000
+PARTIAL = 300_000
 FILTER_BLOCK = 1 << 16
-#: Texts of a task are worked on in groups of about this many bytes.
-CHARS_A_SLICE = 4_000_000
 
 #: Hashes of the marks; REPEAT: the word before once more; REPEATS: the third time or later.
 START, END, REPEAT, REPEATS = 1, 2, 3, 4
@@ -281,14 +278,6 @@ def probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (_mixed(keys * _MUL[k] + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHARS_A_SLICE bytes in the given column each, at least a row."""
-    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    edges = np.flatnonzero(np.r_[True, np.diff(upto // CHARS_A_SLICE) > 0, True]) if len(upto) else []
-    for low, high in itertools.pairwise(edges):
-        yield batch.slice(low, high - low)
-
-
 _loaded: dict[str, tuple] = {}
 
 

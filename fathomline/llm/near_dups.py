@@ -29,6 +29,7 @@ their own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut
+from fathomline.llm.common import cut, slices
 from fathomline.llm.components import components
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 26
@@ -46,7 +47,7 @@ SMALL = 8
 CENTRES, FEW = 4, 20
 #: Rows of a table sent to all workers: of two numbers each, and of signatures.
 BROADCAST_ROWS, BROADCAST_SIGNATURES = 300_000, 30_000
-MEMO = 400_000
+MEMO = 200_000
 
 _draw = np.random.default_rng(20240)
 _MIX = _draw.integers(1, 2**63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +106,7 @@ def sketch(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             sizes, classes, sigs = [], [], []
             for value in batch.column(1).to_pylist():
                 s = shingle_set(value, length, memo)
@@ -126,7 +127,7 @@ def full_sets(docs: DataFrame, length: int, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, 0) for b in batches):
             sets = [s for s in (shingle_set(v, length, memo) for v in batch.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
