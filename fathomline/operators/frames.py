@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import geo
+
 
 def floor_quantile(values: Column, q: float) -> Column:
     """Element floor(q (n - 1)) of the sorted array: no interpolation."""
@@ -14,7 +16,7 @@ def floor_quantile(values: Column, q: float) -> Column:
 def terrain(points: DataFrame, by: str = "frame_id", alt: str = "alt") -> DataFrame:
     """by, n, relief, population deviation and median of the finite altitudes."""
     a = F.col(alt)
-    return points.where(a.isNotNull() & ~F.isnan(a)).groupBy(by).agg(
+    return points.where(geo.finite(a)).groupBy(by).agg(
         F.count(a).alias("n"), (F.max(a) - F.min(a)).alias("relief"), F.stddev_pop(a).alias("std"), F.median(a).alias("median")
     )
 
@@ -22,7 +24,7 @@ def terrain(points: DataFrame, by: str = "frame_id", alt: str = "alt") -> DataFr
 def quantiles(points: DataFrame, value: str, q: float, by: str = "frame_id") -> DataFrame:
     """by, n and quantile: by rank, so a frame of any size is sorted out of memory if need be."""
     own = Window.partitionBy(by)
-    ranked = points.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(own.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(own).alias("n"))
+    ranked = points.where(geo.finite(F.col(value))).select(by, value, F.row_number().over(own.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(own).alias("n"))
     return ranked.where(F.col("_r") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1).select(by, "n", F.col(value).alias("quantile"))
 
 
@@ -53,7 +55,7 @@ def robust_covariance(points: DataFrame, u: str, v: str, w: str, by: str = "fram
     all lengths are clipped unless fewer than two would remain.  The rest is centred on its medians; the
     covariance is weighted, and so is the rmse, which is not centred.
     """
-    use = F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(w) > 0)
+    use = geo.finite(F.col(u), F.col(v), F.col(w)) & (F.col(w) > 0)
     own = Window.partitionBy(by)
     rows = points.where(use).select(by, F.col(u).alias("u"), F.col(v).alias("v"), F.col(w).alias("w"), F.hypot(u, v).alias("len"))
     rows = rows.withColumns({"n": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("len"))})

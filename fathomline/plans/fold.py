@@ -1,6 +1,6 @@
 """Order-dependent recurrences: one pass over each key's rows in order, in bounded memory.
 
-Rows are shuffled by key and sorted within partitions, and each partition is read batch by batch with
+Null keys are one key.  Rows are shuffled by key and sorted within partitions, and each partition is read batch by batch with
 the state carried along, so a key never has to fit in memory.  The recurrence itself is sequential.
 """
 
@@ -25,8 +25,9 @@ def fold_sorted(df: DataFrame, by: str, order: list[str], step: Step, schema: st
         for batch in batches:
             out: list[tuple] = []
             for row in batch.itertuples(index=False, name=None):
-                if row[at] != key:
-                    key, state = row[at], None
+                own = None if row[at] != row[at] else row[at]  # a null may arrive as NaN, which is not equal to itself
+                if own != key:
+                    key, state = own, None
                 state, rows = step(state, row)
                 out += rows
             yield pd.DataFrame(out, columns=names)
