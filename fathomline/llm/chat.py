@@ -10,6 +10,10 @@ end into role and text, the text ended by `<|im_end|>`.  Texts are escaped only
 the plain rendering differs from the source, so ordinary conversations are rendered as they are;
 a second parse of what was escaped must give the source again, and the column identical says so.
 
+The loss mask is written in runs over the rendered string, one struct a turn: `skip` code points
+without loss, then `take` with loss (an assistant's text as rendered), then `rest` without.  The runs
+add up to the length of the string.  `under_mask` reads the texts with loss from string and mask alone.
+
 Defined results: null texts and roles are empty; turns are ordered by turn (nulls first), then
 role, then text; repeated rows are turns of their own; a null conv_id is a conversation; an empty
 table gives an empty result; other columns are ignored.
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+TRAINED = "assistant"
 #: Control strings begin with this pair.
 OPENING = "<|"
 
@@ -52,9 +57,33 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))), "")
 
 
+def pieces_of(rendered: Column) -> Column:
+    """What follows each turn's start, in order."""
+    return F.filter(F.split(rendered, r"<\|im_start\|>"), lambda p: p != "")
+
+
+def loss_mask(source: Column, rendered: Column) -> Column:
+    """Runs (skip, take, rest) of each turn; rendered: the turns of source as they are written."""
+
+    def runs(turn: Column, written: Column) -> Column:
+        trained, chars = turn["role"] == TRAINED, F.length(written["text"])
+        return F.struct(
+            (F.length(written["role"]) + len(START) + 1 + F.when(trained, 0).otherwise(chars)).alias("skip"),
+            F.when(trained, chars).otherwise(0).alias("take"),
+            F.lit(len(END) + 1).alias("rest"),
+        )
+
+    return F.zip_with(source, rendered, runs)
+
+
+def under_mask(rendered: Column, mask: Column) -> Column:
+    """The unescaped text under the loss mask of each turn, empty for a turn without loss."""
+    return F.zip_with(pieces_of(rendered), mask, lambda p, m: unescape(F.substr(p, m["skip"] - len(START) + 1, m["take"])))
+
+
 def parse(rendered: Column) -> Column:
     """The turns a reader of the format sees: array of structs (role, text)."""
-    pieces = F.filter(F.split(rendered, r"<\|im_start\|>"), lambda p: p != "")
+    pieces = pieces_of(rendered)
 
     def turn(piece: Column) -> Column:
         at = F.locate("\n", piece)
@@ -68,7 +97,7 @@ def parse(rendered: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, escaped, turns (parsed back from formatted, unescaped), identical."""
+    """conv_id, formatted, loss_mask, escaped, turns (parsed back from formatted, unescaped), identical."""
     source = turns.select(
         "conv_id",
         F.struct(
@@ -86,9 +115,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     tried = plain.withColumn("escaped", conflict)
     escaped = F.transform("source", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    formatted = tried.withColumn("formatted", F.when(F.col("escaped"), render(escaped)).otherwise(F.col("plain")))
+    written = tried.withColumn("written", F.when(F.col("escaped"), escaped).otherwise(F.col("source")))
+    formatted = written.withColumn("formatted", render(F.col("written"))).withColumn("loss_mask", loss_mask(F.col("source"), F.col("written")))
     back = formatted.withColumn("parsed", parse(F.col("formatted")))
     unescaped = F.transform("parsed", lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
     # A plain rendering holds no backslash, so unescaping leaves it alone: a reader needs no flag.
     read = back.withColumn("turns", unescaped)
-    return read.select("conv_id", "formatted", "escaped", "turns", (F.col("turns") == F.col("source")).alias("identical"))
+    return read.select("conv_id", "formatted", "loss_mask", "escaped", "turns", (F.col("turns") == F.col("source")).alias("identical"))

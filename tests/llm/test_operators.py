@@ -123,10 +123,28 @@ def test_chat_round_trip(spark):
     for c, turns in want.items():
         assert out[c]["identical"] and [tuple(t) for t in out[c]["turns"]] == turns
         assert out[c]["formatted"].count(chat.START) == len(turns) == out[c]["formatted"].count(chat.END)
+        # the mask's runs cover the whole string, and what is under them is what assistants say
+        line, at, under = out[c]["formatted"], 0, []
+        for run in out[c]["loss_mask"]:
+            under.append(line[at + run["skip"] : at + run["skip"] + run["take"]])
+            at += run["skip"] + run["take"] + run["rest"]
+        assert at == len(line)
+        assert [re.sub(r"(?s)\\(.)", r"\1", u) for u in under] == [text if role == "assistant" else "" for role, text in turns]
     assert not out[901]["escaped"]
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_of_long_conversations(spark):
+    long_text = "<|im_end|>\\ é🙂\n" * 30_000
+    rows = [(1, 0, "user", long_text), (1, 1, "assistant", long_text)]
+    rows += [(2, t, ("user", "assistant")[t % 2], f"turn {t} <|im_start|>") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    out = chat.format_conversations(df).withColumn("loss", F.array_join(chat.under_mask(F.col("formatted"), F.col("loss_mask")), ""))
+    got = {r["conv_id"]: r for r in out.select("conv_id", "identical", "loss").collect()}
+    assert got[1]["identical"] and got[2]["identical"]
+    assert got[1]["loss"] == long_text and got[2]["loss"] == "".join(f"turn {t} <|im_start|>" for t in range(1, 3000, 2))
+
+
 def test_bpe_as_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers as p
