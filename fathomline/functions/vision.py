@@ -142,5 +142,12 @@ def condition_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(F.abs(det) >= 1e-12, F.sqrt(F.try_divide(trace / 2.0 + root, trace / 2.0 - root)))
 
 
+def obliqueness(x: Column, y: Column, z: Column) -> Column:
+    """Degrees between a camera's optical axis, given in world axes, and straight down; null without a direction."""
+    length = F.sqrt(x * x + y * y + z * z)
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -z / F.when(length > 1e-12, length)))
+    return F.when(finite(length) & (length > 1e-12), F.degrees(F.acos(cosine)))
+
+
 def variance_text(x: Column, y: Column, z: Column) -> Column:
     return F.format_string("[%.9f,%.9f,%.9f]", x, y, z)

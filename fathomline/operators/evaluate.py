@@ -110,3 +110,18 @@ def verdict(sources: DataFrame) -> DataFrame:
     percent = F.try_divide(100.0 * F.col("gate_failed"), F.col("updates") + F.col("gate_failed"))
     text = F.when(F.col("updates") > 0, "usable").when(F.col("gate_failed") > 0, "all_gates_failed").otherwise("no_visual_update")
     return sums.withColumns({"failed_percent": percent, "verdict": text})
+
+
+def pairwise_errors(series: dict[str, DataFrame], refs: DataFrame, by: str = "vehicle_id") -> DataFrame:
+    """errors of each series in the interval that it alone shares with refs, which are not clipped; series: its name."""
+    out = None
+    for name, rows in series.items():
+        named = errors(rows, refs, False, by).select(by, "seq", "since", "east", "north", "up", "spatial", F.lit(name).alias("series"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def magnitudes(found: DataFrame, by: str = "series") -> DataFrame:
+    """by, n, mean magnitudes of east, north and up, and the mean spatial error."""
+    means = [F.avg(F.abs(F.col(c))).alias(f"mean_abs_{c}") for c in ("east", "north", "up")]
+    return found.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *means, F.avg("spatial").alias("mean_total"))

@@ -78,3 +78,28 @@ def robust_covariance(points: DataFrame, u: str, v: str, w: str, by: str = "fram
 def top_k(points: DataFrame, order: list[Column], k: int, by: str = "frame_id") -> DataFrame:
     """The first k rows of each frame in the given order, with their rank; a window limit Spark keeps small before the shuffle."""
     return points.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def scored(pairs: DataFrame, score: str, threshold: float, bounds: dict[str, int]) -> DataFrame:
+    """Pairs whose score reaches the threshold (negative: any score) and whose indices lie in [0, bound)."""
+    keep = F.lit(True) if threshold < 0 else F.col(score) >= threshold
+    for index, bound in bounds.items():
+        keep = keep & (F.col(index) >= 0) & (F.col(index) < bound)
+    return pairs.where(keep)
+
+
+def capped_pairs(pairs: DataFrame, score: str, most: int, ties: list[str], by: str = "frame_id") -> DataFrame:
+    """The best pairs of each frame by score, at most `most` but four at least."""
+    return top_k(pairs, [F.desc(score), *map(F.col, ties)], max(4, most), by)
+
+
+def best_mode(pairs: DataFrame, mode: str, score: str, order: list[str], by: str = "frame_id") -> DataFrame:
+    """by, mode, n and first_score of the mode with most pairs, then the higher score of its first pair, then the lesser mode."""
+    modes = pairs.groupBy(by, mode).agg(F.count(F.lit(1)).alias("n"), F.min_by(score, F.struct(*order)).alias("first_score"))
+    best = modes.groupBy(by).agg(F.max(F.struct("n", "first_score", (-F.col(mode)).alias("m"))).alias("b"))
+    return best.select(by, (-F.col("b.m")).alias(mode), "b.n", "b.first_score")
+
+
+def first_frames(frames: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first `most` frames in order; all of them for 0."""
+    return frames.orderBy(*order).limit(most) if most > 0 else frames

@@ -55,20 +55,6 @@ def g18_start_attitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy("vehicle_id").agg(F.avg((F.col("value") % 3) / 10).alias("ax"), F.count(F.lit(1)).alias("n")))
 
 
-def k9_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as JSON with nulls kept, as the topic sink writes them."""
-    s = samples(spark, sf_dir, "view")
-    row = F.struct("vehicle_id", "seq", F.when(F.col("k") % 2 == 0, F.col("k")).alias("heading"), (F.col("k") > 50).alias("pred_available"))
-    return s.select("seq", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
-
-
-def k1_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-point text of positions, missing numbers as nan."""
-    s = samples(spark, sf_dir, "view")
-    value = F.when(F.col("k") % 2 == 0, F.format_string("%.6f", F.col("k") / 7)).otherwise("nan")
-    return s.select("seq", F.concat_ws(",", F.format_string("%.3f", F.round("t", 3)), F.format_string("%.6f", F.round("lon", 6)), value).alias("line"))
-
-
 def t21_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age of the last measurement at each fix, and whether it has expired after a day."""
     from fathomline.operators import asof
@@ -88,10 +74,8 @@ def j12_anchor_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anchors.assign(given, samples(spark, sf_dir, "view").select("vehicle_id", "t", "seq"), gates).select("vehicle_id", "seq", "anchor_seq", "age", "rejected", "reason"))
 
 
-QUERIES = {f.__name__: f for f in (j12_anchor_assignment, t5_fusion_filter, t10_sources, w8_attitude, g18_start_attitude, k9_json_rows, k1_csv_rows, t21_staleness)}
+QUERIES = {f.__name__: f for f in (j12_anchor_assignment, t5_fusion_filter, t10_sources, w8_attitude, g18_start_attitude, t21_staleness)}
 ORACLES = {
     "g18_start_attitude": f"WITH {SAMPLES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t, seq) AS i FROM samples) SELECT vehicle_id, round(avg(fmod(value, 3) / 10), 6) + 0.0 AS ax, count(*) AS n FROM f WHERE i <= 20 GROUP BY 1",
-    "k9_json_rows": f"WITH {SAMPLES_SQL} SELECT seq, '{{\"vehicle_id\":' || vehicle_id || ',\"seq\":' || seq || ',\"heading\":' || CASE WHEN k % 2 = 0 THEN k::VARCHAR ELSE 'null' END || ',\"pred_available\":' || CASE WHEN k > 50 THEN 'true' ELSE 'false' END || '}}' AS json FROM samples WHERE kind = 'view'",
-    "k1_csv_rows": f"WITH {SAMPLES_SQL} SELECT seq, printf('%.3f', round(t, 3)) || ',' || printf('%.6f', round(lon, 6)) || ',' || CASE WHEN k % 2 = 0 THEN printf('%.6f', k / 7.0::DOUBLE) ELSE 'nan' END AS line FROM samples WHERE kind = 'view'",
     "t21_staleness": f"WITH {SAMPLES_SQL}, f AS (SELECT * FROM samples WHERE kind = 'view'), c AS (SELECT * FROM samples WHERE kind = 'click') SELECT f.seq, round(f.t - c.t, 3) + 0.0 AS age, f.t - c.t > 86400 AS expired FROM f ASOF LEFT JOIN c ON f.vehicle_id = c.vehicle_id AND f.t >= c.t",
 }
