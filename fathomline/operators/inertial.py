@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,54 +35,90 @@ class Tuning:
     clean_every: int = 200
 
 
-def orthonormal(r: np.ndarray) -> np.ndarray:
+Vector = tuple[float, float, float]
+#: A matrix by its rows.
+Matrix = tuple[Vector, Vector, Vector]
+
+
+def dot(a: Vector, b: Vector) -> float:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def norm(a: Vector) -> float:
+    return math.sqrt(dot(a, a))
+
+
+def cross(a: Vector, b: Vector) -> Vector:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def combined(p: float, a: Vector, q: float, b: Vector) -> Vector:
+    """p a + q b."""
+    return p * a[0] + q * b[0], p * a[1] + q * b[1], p * a[2] + q * b[2]
+
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    columns = tuple(zip(*b, strict=True))
+    return tuple(tuple(dot(row, c) for c in columns) for row in a)
+
+
+def orthonormal(r: Matrix) -> Matrix:
     """Gram-Schmidt on the first two columns."""
-    x = r[:, 0] / np.linalg.norm(r[:, 0])
-    y = r[:, 1] - x * (x @ r[:, 1])
-    y /= np.linalg.norm(y)
-    return np.stack([x, y, np.cross(x, y)], 1)
+    one, two, _ = zip(*r, strict=True)
+    x = combined(1 / norm(one), one, 0.0, one)
+    y = combined(1.0, two, -dot(x, two), x)
+    y = combined(1 / norm(y), y, 0.0, y)
+    return tuple(zip(x, y, cross(x, y), strict=True))
 
 
-def rotation(v: np.ndarray) -> np.ndarray:
+def rotation(v: Vector) -> Matrix:
     """Rodrigues' formula for a rotation vector."""
-    angle = float(np.linalg.norm(v))
-    k = np.array([[0.0, -v[2], v[1]], [v[2], 0.0, -v[0]], [-v[1], v[0], 0.0]])
+    x, y, z = v
+    angle = norm(v)
     if angle < 1e-12:
-        return np.eye(3) + k
-    return np.eye(3) + math.sin(angle) / angle * k + (1 - math.cos(angle)) / angle**2 * (k @ k)
+        return (1.0, -z, y), (z, 1.0, -x), (-y, x, 1.0)
+    s, c = math.sin(angle) / angle, (1 - math.cos(angle)) / angle**2
+    return (
+        (1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y),
+        (c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x),
+        (c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y)),
+    )
 
 
-def level_attitude(accel: np.ndarray) -> np.ndarray:
+def level_attitude(accel: Vector) -> Matrix:
     """World (east, north, up) from body, heading north, with the roll and pitch that gravity shows."""
-    down = -accel
-    roll = math.atan2(down[1], down[2])
-    pitch = math.atan2(-down[0], math.hypot(down[1], down[2]))
+    x, y, z = (-a for a in accel)
+    roll = math.atan2(y, z)
+    pitch = math.atan2(-x, math.hypot(y, z))
     cr, sr, cp, sp = math.cos(roll), math.sin(roll), math.cos(pitch), math.sin(pitch)
-    ned = np.array([[cp, sp * sr, sp * cr], [0.0, cr, -sr], [-sp, cp * sr, cp * cr]])
-    return np.array([[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, -1.0]]) @ ned
+    return (0.0, cr, -sr), (cp, sp * sr, sp * cr), (sp, -cp * sr, -cp * cr)
+
+
+def roll_pitch(clean: Matrix) -> tuple[float, float]:
+    """Degrees, of an orthonormal attitude."""
+    x, y, z = (-a for a in clean[2])
+    return math.degrees(math.atan2(y, z)), math.degrees(math.atan2(-x, math.hypot(y, z)))
 
 
-def roll_pitch(r: np.ndarray) -> tuple[float, float]:
-    """Degrees."""
-    down = orthonormal(r).T @ np.array([0.0, 0.0, -1.0])
-    return math.degrees(math.atan2(down[1], down[2])), math.degrees(math.atan2(-down[0], math.hypot(down[1], down[2])))
+ZERO: Vector = (0.0, 0.0, 0.0)
 
 
 @dataclass
 class Attitude:
-    """State between two samples."""
+    """State between two samples; clean: r with orthonormal columns."""
 
     early: list = field(default_factory=list)
     t: float = -math.inf
-    gyro: np.ndarray | None = None
-    accel: np.ndarray | None = None
-    r: np.ndarray | None = None
-    smooth: np.ndarray | None = None
-    integral: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    bias: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    gyro: Vector | None = None
+    accel: Vector | None = None
+    r: Matrix | None = None
+    clean: Matrix | None = None
+    smooth: Vector | None = None
+    integral: Vector = ZERO
+    bias: Vector = ZERO
     steps: int = 0
 
-    def advance(self, t: float, gyro: np.ndarray, accel: np.ndarray, k: Tuning) -> bool:
+    def advance(self, t: float, gyro: Vector, accel: Vector, k: Tuning) -> bool:
         """Take a sample; whether there is an attitude for it."""
         if t <= self.t:
             return False
@@ -92,30 +127,33 @@ class Attitude:
             self.t, self.gyro, self.accel = t, gyro, accel
             if len(self.early) < k.start_samples:
                 return False
-            self.smooth = np.mean(self.early, 0)
+            self.smooth = tuple(math.fsum(axis) / len(self.early) for axis in zip(*self.early, strict=True))
             self.r, self.early = level_attitude(self.smooth), []
+            self.clean = orthonormal(self.r)
             return True
-        dt, mid_gyro, mid_accel = t - self.t, (self.gyro + gyro) / 2, (self.accel + accel) / 2
-        turn = mid_gyro.copy()
-        self.smooth = (1 - k.smoothing) * self.smooth + k.smoothing * mid_accel
-        norms = np.linalg.norm(mid_accel), np.linalg.norm(self.smooth)
-        if all(k.norm_low <= n <= k.norm_high for n in norms):
-            seen, expected = -self.smooth / norms[1], self.r.T @ np.array([0.0, 0.0, -1.0])
-            error = np.cross(seen, expected / np.linalg.norm(expected))
+        dt, mid_gyro, mid_accel = t - self.t, combined(0.5, self.gyro, 0.5, gyro), combined(0.5, self.accel, 0.5, accel)
+        turn = mid_gyro
+        self.smooth = combined(1 - k.smoothing, self.smooth, k.smoothing, mid_accel)
+        size = norm(self.smooth)
+        if k.norm_low <= norm(mid_accel) <= k.norm_high and k.norm_low <= size <= k.norm_high:
+            # seen and expected both point down; minus times minus cancels
+            error = cross(combined(1 / size, self.smooth, 0.0, self.smooth), combined(1 / norm(self.r[2]), self.r[2], 0.0, self.r[2]))
             if k.ki > 0:
-                self.integral = self.integral + error * k.ki * dt
-                size = float(np.linalg.norm(self.integral))
-                if 0 < k.integral_limit < size:
-                    self.integral *= k.integral_limit / size
-            turn += k.kp * error + self.integral
-        self.r = self.r @ rotation(turn * dt)
+                self.integral = combined(1.0, self.integral, k.ki * dt, error)
+                length = norm(self.integral)
+                if 0 < k.integral_limit < length:
+                    self.integral = combined(k.integral_limit / length, self.integral, 0.0, ZERO)
+            turn = combined(1.0, combined(1.0, turn, k.kp, error), 1.0, self.integral)
+        self.r = product(self.r, rotation(combined(dt, turn, 0.0, ZERO)))
         self.steps += 1
+        self.clean = orthonormal(self.r)
         if self.steps % k.clean_every == 0:
-            self.r = orthonormal(self.r)
-        if k.bias_rate > 0 and np.linalg.norm(mid_gyro) <= k.bias_gyro:
-            rest = mid_accel - orthonormal(self.r).T @ np.array([0.0, 0.0, GRAVITY])
-            if np.linalg.norm(rest) <= k.bias_residual:
-                self.bias = np.clip((1 - k.bias_rate) * self.bias + k.bias_rate * rest, -k.bias_limit, k.bias_limit)
+            self.r = self.clean
+        if k.bias_rate > 0 and norm(mid_gyro) <= k.bias_gyro:
+            rest = combined(1.0, mid_accel, -GRAVITY, self.clean[2])
+            if norm(rest) <= k.bias_residual:
+                moved = combined(1 - k.bias_rate, self.bias, k.bias_rate, rest)
+                self.bias = tuple(max(-k.bias_limit, min(k.bias_limit, b)) for b in moved)
         self.t, self.gyro, self.accel = t, gyro, accel
         return True
 
@@ -131,12 +169,12 @@ def attitudes(imu: DataFrame, tuning: Tuning | None = None, by: str = "vehicle_i
     def step(state, row):
         state = state or Attitude()
         _, t, seq, *axes = row
-        if not state.advance(t, np.array(axes[:3]), np.array(axes[3:]), k):
+        if not state.advance(t, tuple(axes[:3]), tuple(axes[3:]), k):
             return state, []
-        roll, pitch = roll_pitch(state.r)
-        forward = state.r[:, 0]
-        accel = orthonormal(state.r) @ (state.accel - state.bias) - np.array([0.0, 0.0, GRAVITY])
-        return state, [(row[0], t, seq, roll, pitch, math.atan2(forward[0], forward[1]), *map(float, accel))]
+        roll, pitch = roll_pitch(state.clean)
+        own = combined(1.0, state.accel, -1.0, state.bias)
+        east, north, up = (dot(axis, own) for axis in state.clean)
+        return state, [(row[0], t, seq, roll, pitch, math.atan2(state.r[0][0], state.r[1][0]), east, north, up - GRAVITY)]
 
     given = imu.where(finite(F.col("t"), *map(F.col, AXES)) & (F.col("t") > 0)).select(by, "t", "seq", *[F.col(a).cast("double").alias(a) for a in AXES])
     kinds = {c: given.schema[c].dataType.simpleString() for c in (by, "seq")}
