@@ -60,9 +60,9 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHARS_A_SLICE bytes in the given column each, at least a row."""
+def slices(batch: pa.RecordBatch, column: int, size: int = CHARS_A_SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes in the given column each, at least a row."""
     upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    edges = np.flatnonzero(np.r_[True, np.diff(upto // CHARS_A_SLICE) > 0, True]) if len(upto) else []
+    edges = np.flatnonzero(np.r_[True, np.diff(upto // size) > 0, True]) if len(upto) else []
     for low, high in itertools.pairwise(edges):
         yield batch.slice(low, high - low)

@@ -21,7 +21,10 @@ text are ordinary text; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import array
 import math
+import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,43 +42,81 @@ END = 1
 NEARLY = 64
 #: Sequences (pieces, at first) that a task packs at once, and pieces in them.
 BINS_A_CHUNK, PIECES_A_CHUNK = 20_000, 400_000
-#: Bytes of words and ids after which a worker's memo changes generation.
-MEMO_BYTES = 48_000_000
+#: Words after which a worker's memo changes generation, and words given to the tokenizer at once.
+MEMO_WORDS, WORDS_A_CALL = 400_000, 4_000
+#: Texts of a task are worked on in groups of about this many bytes: a word that occurs in all of a group is looked up once.
+BYTES_A_SLICE = 6_000_000
+#: ASCII punctuation; letters before this code point are letters to every library; combining marks that compose with a letter.
+PUNCTUATION, LATIN_END, MARKS = string.punctuation, "\u0250", "[\u0300-\u036f]"
 #: A round that leaves more than this share of its sequences is the last.
 STALLED = 0.95
 
+#: Byte-level vocabularies write a byte that isn't printable as the next free code point from 256.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b < 33 or 126 < b < 161 or b == 173)}
+
 
 class WordIds:
-    """Token ids of words, as little-endian unsigned 32-bit integers, by a tokenizer that drops white space."""
+    """Token ids of words, as little-endian unsigned 32-bit integers, by a tokenizer that lower-cases and drops white space."""
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def learn(self, words: set[bytes]) -> None:
-        if self.held > MEMO_BYTES:
-            self.older, self.memo, self.held = self.memo, {}, 0
-        new = words - self.memo.keys()
-        again = new & self.older.keys()
-        self._keep([(w, self.older[w]) for w in again])
-        new = list(new - again)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self._keep([(w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True)])
-
-    def _keep(self, pairs: list[tuple[bytes, bytes]]) -> None:
-        self.memo.update(pairs)
-        self.held += sum(len(w) + len(ids) + 100 for w, ids in pairs)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """White space of bytes.split() is white space to the tokenizer too."""
-        cut_up = [t.split() for t in texts]
-        self.learn(set().union(*cut_up))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in cut_up]
+        self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model.tokenize
+
+    def learn(self, words: list[str]) -> None:
+        """Encode the words that the memo lacks; a letter and the punctuation after it are never one token, so these are learnt apart."""
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {"": b""}
+        memo, older, split, plain, others = self.memo, self.older, [], [], []
+        for w in words:
+            if w in memo:
+                continue
+            if (ids := older.get(w)) is not None:
+                memo[w] = ids
+                continue
+            core = w.rstrip(PUNCTUATION)
+            if core and core != w and core[-1].isalpha() and core[-1] < LATIN_END:
+                split.append((w, core))
+                new = [p for p in (core, w[len(core) :]) if p not in memo]
+            else:
+                new = [w]
+            for p in new:
+                memo[p] = b""
+                (plain if p.isalpha() and p.islower() and max(p) < LATIN_END else others).append(p)
+        for p in plain:  # letters alone are one piece, which goes to the model as it is
+            memo[p] = array.array("I", [token.id for token in self.model(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+        for k in range(0, len(others), WORDS_A_CALL):
+            some = others[k : k + WORDS_A_CALL]
+            for p, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memo[p] = array.array("I", found.ids).tobytes()
+        for w, core in split:
+            memo[w] = memo[core] + memo[w[len(core) :]]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and each text's number of ids.
+
+        A-Z are lower-cased first, which the tokenizer does too (after composing, so not in texts with combining marks); each
+        distinct word is looked up once and the rest is copying.
+        """
+        lower = pc.ascii_lower(texts)
+        marked = pc.match_substring_regex(texts, MARKS)
+        words = pc.ascii_split_whitespace(pc.if_else(marked, texts, lower))
+        coded = words.flatten().dictionary_encode()
+        names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn(names)
+        found = list(map(self.memo.__getitem__, names))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        counts = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[index] - upto[:-1], counts) + np.arange(upto[-1])
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+        return ids[at], np.diff(upto[edges])
 
 
 _tokenizers: dict[int, WordIds] = {}
@@ -84,7 +125,6 @@ _tokenizers: dict[int, WordIds] = {}
 def tokenize(docs: DataFrame, file: str, end: int = END, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length and ids (binary, little-endian unsigned 32-bit integers); file: the tokenizer's JSON text."""
     shipped, label = docs.sparkSession.sparkContext.broadcast(file), hash(file)
-    last = np.array([end], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if label not in _tokenizers:
@@ -92,24 +132,22 @@ def tokenize(docs: DataFrame, file: str, end: int = END, capacity: int = CAPACIT
             _tokenizers[label] = WordIds(shipped.value)
         own = _tokenizers[label]
         for batch in batches:
-            for part in slices(batch, 1):
-                found = [ids + last for ids in own.encode(part.column(1).to_pylist())]
-                counts = [-(-len(ids) // (4 * capacity)) for ids in found]
-                pieces = [ids[k : k + 4 * capacity] for ids in found for k in range(0, len(ids), 4 * capacity)]
-                number = np.concatenate([np.arange(c) for c in counts])
+            for part in slices(batch, 1, BYTES_A_SLICE):
+                ids, counts = own.encode(part.column(1))
                 row = np.repeat(np.arange(len(counts)), counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(row)),
-                        pa.array(number, pa.int32()),
-                        pa.array(number * capacity, pa.int64()),
-                        pa.array([len(p) // 4 for p in pieces], pa.int32()),
-                        pa.array(pieces, pa.binary()),
-                    ],
-                    names=[key, "piece", "start", "length", "ids"],
-                )
-
-    given = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+                tokens = np.full(len(ids) + len(counts), end, "<u4")  # each text's ids, and the end id after them
+                tokens[np.arange(len(ids)) + row] = ids
+                sizes = counts + 1
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                lengths = np.minimum(sizes[owner] - number * capacity, capacity)
+                offsets = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(tokens)])
+                columns = [part.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(number * capacity, pa.int64()), pa.array(lengths, pa.int32()), binary]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids"])
+
+    given = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return given.mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length int, ids binary")
 
 
