@@ -90,11 +90,15 @@ def enu_between(origin: Geo, point: Geo) -> Enu:
     return Enu(*(sum((axis[k] * d[k] for k in (1, 2)), axis[0] * d[0]) for axis in _axes(origin)))
 
 
+def moved(origin: Geo, by: Enu) -> Ecef:
+    """Where origin is after a move by metres."""
+    axes = _axes(origin)
+    return Ecef(*(c + axes[0][k] * by.east + axes[1][k] * by.north + axes[2][k] * by.up for k, c in enumerate(to_ecef(origin))))
+
+
 def shift(origin: Geo, by: Enu) -> Geo:
     """origin moved by metres; its altitude changes by exactly up."""
-    a, axes = to_ecef(origin), _axes(origin)
-    moved = [c + axes[0][k] * by.east + axes[1][k] * by.north + axes[2][k] * by.up for k, c in enumerate(a)]
-    g = from_ecef(Ecef(*moved))
+    g = from_ecef(moved(origin, by))
     return Geo(g.lon, g.lat, origin.alt + by.up)
 
 

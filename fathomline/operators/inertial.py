@@ -118,6 +118,15 @@ class Attitude:
     bias: Vector = ZERO
     steps: int = 0
 
+    def holding(self, k: Tuning) -> tuple[Vector, Vector]:
+        """How the attitude turns on from the last sample: the rate without the integral term, and the growth of that term a second."""
+        smooth = combined(1 - k.smoothing, self.smooth, k.smoothing, self.accel)
+        size = norm(smooth)
+        if not (k.norm_low <= norm(self.accel) <= k.norm_high and k.norm_low <= size <= k.norm_high):
+            return self.gyro, ZERO
+        error = cross(combined(1 / size, smooth, 0.0, smooth), combined(1 / norm(self.r[2]), self.r[2], 0.0, self.r[2]))
+        return combined(1.0, self.gyro, k.kp, error), combined(k.ki, error, 0.0, ZERO)
+
     def advance(self, t: float, gyro: Vector, accel: Vector, k: Tuning) -> bool:
         """Take a sample; whether there is an attitude for it."""
         if t <= self.t:
@@ -176,7 +185,29 @@ def attitudes(imu: DataFrame, tuning: Tuning | None = None, by: str = "vehicle_i
         east, north, up = (dot(axis, own) for axis in state.clean)
         return state, [(row[0], t, seq, roll, pitch, math.atan2(state.r[0][0], state.r[1][0]), east, north, up - GRAVITY)]
 
+    return _folded(imu, step, "roll double,pitch double,heading double,a_east double,a_north double,a_up double", by)
+
+
+def states(imu: DataFrame, tuning: Tuning | None = None, by: str = "vehicle_id") -> DataFrame:
+    """by, t, seq and the tracker's state after each sample: r (attitude, by rows), accel, bias, turn and drift (how it goes on) and integral.
+
+    The integral counts into turn where the accelerometer can be trusted; elsewhere integral is zero.
+    """
+    k = tuning or Tuning()
+
+    def step(state, row):
+        state = state or Attitude()
+        _, t, seq, *axes = row
+        if not state.advance(t, tuple(axes[:3]), tuple(axes[3:]), k):
+            return state, []
+        turn, drift = state.holding(k)
+        trusted = turn is not state.gyro
+        return state, [(row[0], t, seq, [x for line in state.r for x in line], list(state.accel), list(state.bias), list(turn), list(state.integral if trusted else ZERO), list(drift))]
+
+    return _folded(imu, step, ",".join(f"{n} array<double>" for n in ("r", "accel", "bias", "turn", "integral", "drift")), by)
+
+
+def _folded(imu: DataFrame, step, out: str, by: str) -> DataFrame:
     given = imu.where(finite(F.col("t"), *map(F.col, AXES)) & (F.col("t") > 0)).select(by, "t", "seq", *[F.col(a).cast("double").alias(a) for a in AXES])
     kinds = {c: given.schema[c].dataType.simpleString() for c in (by, "seq")}
-    names = "roll pitch heading a_east a_north a_up".split()
-    return fold_sorted(given, by, ["t", "seq"], step, f"{by} {kinds[by]},t double,seq {kinds['seq']}," + ",".join(f"{n} double" for n in names))
+    return fold_sorted(given, by, ["t", "seq"], step, f"{by} {kinds[by]},t double,seq {kinds['seq']},{out}")
