@@ -38,9 +38,9 @@ def ratio(part: Column, whole: Column) -> Column:
 def reject_reason(used: Column, inlier_ratio: Column, reproj: Column, min_used: int, min_ratio: float, max_reproj: float) -> Column:
     """First failing check of a measurement, or null; a missing ratio fails, a missing error passes."""
     return (
-        F.when(used < min_used, "used_points_too_few")
-        .when(~finite(inlier_ratio) | (inlier_ratio < min_ratio), "inlier_ratio_too_low")
-        .when(finite(reproj) & (reproj > max_reproj), "reproj_error_too_high")
+        F.when(used < min_used, "anchor_rejected_low_used_points")
+        .when(~finite(inlier_ratio) | (inlier_ratio < min_ratio), "anchor_rejected_low_inlier_ratio")
+        .when(finite(reproj) & (reproj > max_reproj), "anchor_rejected_high_reproj_error")
     )
 
 

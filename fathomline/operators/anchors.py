@@ -76,9 +76,9 @@ def assign(anchors: DataFrame, fixes: DataFrame, gates: Gates | None = None, by:
         for anchor in state.pending:
             why = anchor[4]
             if 0 < g.max_age < t - anchor[0]:
-                why = "stale"
+                why = "anchor_rejected_stale"
             elif why is None and state.active and math.hypot(anchor[2] - state.active[2], anchor[3] - state.active[3]) > g.innovation > 0:
-                why = "innovation_too_large"
+                why = "anchor_rejected_large_innovation"
             if why is None:
                 state.active, state.reason, state.since = anchor, None, anchor[0]
             else:

@@ -17,11 +17,15 @@ def _sphere_metres(lon: float, lat: float, lon0: float, lat0: float) -> float:
 
 
 def mark_jumps(track: DataFrame, most: float, by: str = "vehicle_id") -> DataFrame:
-    """by, t, seq, lon, lat, alt and accepted: whether the row is within most metres of the last accepted row."""
+    """by, t, seq, lon, lat, alt and accepted: whether the row is within most metres of the last accepted row.
+
+    A row whose position isn't finite is not accepted, and no other row is measured against it.
+    """
 
     def step(last, row):
         _, t, seq, lon, lat, alt = row
-        ok = last is None or _sphere_metres(lon, lat, *last) <= most
+        there = lon is not None and lat is not None and math.isfinite(lon) and math.isfinite(lat)
+        ok = there and (last is None or _sphere_metres(lon, lat, *last) <= most)
         return ((lon, lat) if ok else last), [(*row, ok)]
 
     kind = track.schema[by].dataType.simpleString()

@@ -107,7 +107,7 @@ def g13_source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.avg("nis").alias("mean_nis")))
 
 
-_REASON = "CASE WHEN used < 20 THEN 'used_points_too_few' WHEN inlier_ratio IS NULL OR inlier_ratio < 0.2 THEN 'inlier_ratio_too_low' WHEN reproj > 6 THEN 'reproj_error_too_high' END"
+_REASON = "CASE WHEN used < 20 THEN 'anchor_rejected_low_used_points' WHEN inlier_ratio IS NULL OR inlier_ratio < 0.2 THEN 'anchor_rejected_low_inlier_ratio' WHEN reproj > 6 THEN 'anchor_rejected_high_reproj_error' END"
 
 
 def g15_summary_averages(spark: SparkSession, sf_dir: str) -> DataFrame:

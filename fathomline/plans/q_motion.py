@@ -147,7 +147,7 @@ SELECT vehicle_id, seq, CASE WHEN has_anchor THEN a END AS anchor_seq, CASE WHEN
        CASE WHEN has_anchor AND ok THEN round(sqrt(ve ** 2 + vn ** 2), 6) + 0.0 END AS speed,
        CASE WHEN has_anchor AND ok THEN round(sin(compass + psi - psi_a), 6) + 0.0 END AS sin_heading, CASE WHEN has_anchor AND ok THEN round(cos(compass + psi - psi_a), 6) + 0.0 END AS cos_heading,
        CASE WHEN has_anchor AND ok THEN 'anchor+imu_delta' END AS heading_source,
-       CASE WHEN has_anchor AND ok THEN NULL WHEN a IS NULL THEN 'no_visual_anchor' WHEN failed THEN 'imu_preintegration_failed' WHEN adopted THEN 'visual_anchor_expired' ELSE 'stale' END AS failure_reason
+       CASE WHEN has_anchor AND ok THEN NULL WHEN a IS NULL THEN 'no_visual_anchor' WHEN failed THEN 'imu_preintegration_failed' WHEN adopted THEN 'visual_anchor_expired' ELSE 'anchor_rejected_stale' END AS failure_reason
 FROM shown
 """
 

@@ -12,7 +12,7 @@ def test_assignment(spark):
     out = anchors.assign(spark.createDataFrame(a, schema), spark.createDataFrame(f, "vehicle_id int, t double, seq int")).collect()
     got = {r["seq"]: (r["anchor_seq"], r["rejected"], r["reason"]) for r in out}
     assert got == {
-        10: (None, 0, None), 11: (1, 0, None), 12: (4, 2, None), 13: (4, 2, None), 14: (None, 2, "visual_anchor_expired"), 15: (None, 3, "inlier_ratio_too_low"),
+        10: (None, 0, None), 11: (1, 0, None), 12: (4, 2, None), 13: (4, 2, None), 14: (None, 2, "visual_anchor_expired"), 15: (None, 3, "anchor_rejected_low_inlier_ratio"),
     }
 
 

@@ -23,3 +23,12 @@ def test_values_that_are_not_finite_are_left_out(spark):
     assert (row["n"], row["relief"], row["median"]) == (2, 2.0, 2.0)
     (row,) = frames.quantiles(heights, "alt", 0.9).collect()
     assert (row["n"], row["quantile"]) == (2, 1.0)
+
+
+def test_positions_that_are_not_finite_are_never_a_reference(spark):
+    rows = [("a", float(k), k, lon, 34.0, 400.0) for k, lon in enumerate([NAN, 109.0, None, 109.0, INF, 110.0, 109.0001])]
+    df = spark.createDataFrame(rows, "vehicle_id string, t double, seq bigint, lon double, lat double, alt double")
+    got = [r["accepted"] for r in clean.mark_jumps(df, 100.0).orderBy("t").collect()]
+    assert got == [False, True, False, True, False, False, True]
+    filled = [r["lon"] for r in clean.fill_rejected(clean.mark_jumps(df, 100.0)).orderBy("t").collect()]
+    assert filled[0] == filled[2] == 109.0 and all(109.0 <= x <= 109.0001 for x in filled)

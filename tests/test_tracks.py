@@ -62,7 +62,7 @@ def test_missing_values_in_gates(spark):
         vision.expired(F.lit(3.0), F.lit(3.0)).alias("edge"),
         geo.finite(F.lit(float("inf"))).alias("inf"),
     ).first()
-    assert row["reproj"] is None and row["ratio"] == "inlier_ratio_too_low" and row["nis"] and not row["edge"] and not row["inf"]
+    assert row["reproj"] is None and row["ratio"] == "anchor_rejected_low_inlier_ratio" and row["nis"] and not row["edge"] and not row["inf"]
 
 
 def straight(n=20):
