@@ -4,7 +4,7 @@ Every stage works on all documents its predecessor kept, written as Parquet and
 but the last return the columns of documents.
 
 Defined results: documents with null or empty text pass every filter; of each group of near
-duplicates the least doc_id stays; a benchmark item found in a document drops it; secrets are
+duplicates the least doc_id stays (of rows with equal id and text, one); a benchmark item found in a document drops it; secrets are
 replaced by a mark in the text; an empty table gives an empty result.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import cut, table
-from fathomline.llm.decontaminate import drop_contaminated, sized
+from fathomline.llm.decontaminate import drop_contaminated, identity, same_rows
 from fathomline.llm.kneser_ney import drop_rejected
 from fathomline.llm.near_dups import near_duplicates
 from fathomline.llm.q_bpe import encoded
@@ -27,10 +27,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8)."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    gone = cut(found.distinct(), "gone")
-    return docs.join(sized(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """One document of each group of near duplicates (five words, similarity 0.8); documents without a word stay.
+
+    A document is its id and text: other texts under the same id are documents of their own, and of rows equal in
+    both the first by all columns stays.
+    """
+    marked = docs.withColumn("_row", identity())
+    judged = cut(near_duplicates(marked.select("_row", "text"), key="_row"), "judged")
+    worded = judged.where("n_shingles > 0").select("_row", "kept")
+    gone = cut(worded.where("NOT kept").select("_row").distinct(), "gone")
+    again = cut(worded.where("kept").groupBy("_row").count().where("count > 1").select("_row"), "again")
+    first = F.min(F.struct(*docs.columns)).alias("_first")
+    one = same_rows(marked, again, "left_semi").groupBy("_row").agg(first).select("_first.*")
+    return same_rows(marked, gone.unionByName(again), "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Search.  Containment in a long document can't be read from a sketch of the docum
 is the item's: its smallest shingle hashes.  Of n shingles a document may lack n - need, where
 need = ceil(0.8 n); so of the item's n - need + 1 smallest hashes it has one at least, and a lookup
 of these finds every document (no chance of a miss).  Items are dealt into partitions by size (powers
-of two).  Each partition has its own largest sketch hash, above which no shingle is looked up, and
-its own least document size.  A document's shingles are hashed and looked up as they are generated,
+of two), by which the least document size of an item is known; no shingle above the largest sketch hash of
+all partitions is looked up.  A document's shingles are hashed and looked up as they are generated,
 row by row, and only hits leave the scan.
 
 Verification.  Candidates get the exact intersection of both whole shingle sets, as strings.
@@ -124,7 +124,19 @@ def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     )
 
 
+def identity(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells documents apart where ids repeat: the id and a hash of the text."""
+    return F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def same_rows(marked: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """marked (with _row) with or without (how: left_semi, left_anti) the given ones (_row), which are counted before they are broadcast."""
+    wanted = sized(rows.select(F.col("_row.id").alias("_id"), F.col("_row.hash").alias("_hash")), rows.count())
+    return marked.join(wanted, F.col("_row.id").eqNullSafe(F.col("_id")) & (F.col("_row.hash") == F.col("_hash")), how)
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that contain an item."""
-    found = cut(find_contaminated(docs, items, key, text).select(F.col(key).alias("_found")).distinct(), "contaminated")
-    return docs.join(sized(found, found.count()), docs[key].eqNullSafe(F.col("_found")), "left_anti")
+    """docs without those that contain an item; another text under the same id stays."""
+    marked = docs.withColumn("_row", identity(key, text))
+    found = find_contaminated(marked.select("_row", text), items, "_row", text).select("_row").distinct()
+    return same_rows(marked, cut(found, "contaminated"), "left_anti").drop("_row")

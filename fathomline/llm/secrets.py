@@ -140,8 +140,13 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs and a struct secrets: n_assign, n_access, n_hex, n_novel, base_spans and spans (strings)."""
+def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
+    """All columns of docs and a struct `out`: n_assign, n_access, n_hex, n_novel, base_spans and spans (strings).
+
+    A column of docs that is named like `out` is an error, for it would be lost.
+    """
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {out!r} already: name the result otherwise")
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string")
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -154,7 +159,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows.append((*(sum(k == n for _, k, _ in everything) for n in range(4)), _joined(base), _joined(everything)))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"])
 
-    return docs.withColumn("secrets", scan(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, scan(F.coalesce(F.col(text), F.lit(""))))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
