@@ -60,6 +60,22 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that an operator keeps in a worker process between its tasks."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def release(keep: dict | None = None) -> None:
+    """Empty what other operators keep in this worker process, so that stages don't add up."""
+    for cache in _caches:
+        if cache is not keep:
+            cache.clear()
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = CHARS_A_SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `size` bytes in the given column each, at least a row."""
     upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, slices
+from fathomline.llm.common import cut, slices, worker_cache
 from fathomline.llm.decontaminate import sized
 
 TRUSTED_DOCUMENTS = 5_000
@@ -278,7 +278,7 @@ def probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (_mixed(keys * _MUL[k] + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple] = worker_cache()
 
 
 def log_probabilities(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, slices
+from fathomline.llm.common import cut, release, slices
 from fathomline.llm.components import components
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 26
@@ -105,6 +105,7 @@ def sketch(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
     """id, n (set size), class (null if empty) and sig of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = _WordHash()
         for batch in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             sizes, classes, sigs = [], [], []
@@ -126,6 +127,7 @@ def full_sets(docs: DataFrame, length: int, text: str) -> DataFrame:
     """class, set (array of hashes) of every row with a word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = _WordHash()
         for batch in itertools.chain.from_iterable(slices(b, 0) for b in batches):
             sets = [s for s in (shingle_set(v, length, memo) for v in batch.column(0).to_pylist()) if len(s)]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import cut, slices
+from fathomline.llm.common import cut, slices, worker_cache
 
 CAPACITY = 4096
 END = 1
@@ -119,7 +119,7 @@ class WordIds:
         return ids[at], np.diff(upto[edges])
 
 
-_tokenizers: dict[int, WordIds] = {}
+_tokenizers: dict[int, WordIds] = worker_cache()
 
 
 def tokenize(docs: DataFrame, file: str, end: int = END, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
