@@ -4,7 +4,8 @@ A vehicle's anchors and fixes are folded in time order (anchors first at equal t
 adopted at the first fix not before it, if it isn't stale there, passes the quality gate, and isn't
 farther from the active anchor than the innovation gate; the last accepted one is active.  It expires
 when it is older than max_age at a fix.  Where fixes say up to when nothing can be propagated to them, an
-anchor that would have to be is lost at that fix.
+anchor that would have to be is lost at that fix.  At the first fix with a closed gate all anchors so far
+are forgotten; fixes give no row while it is closed.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class _State:
     active: tuple | None = None
     rejected: int = 0
     reason: str | None = None
+    open: bool = True
     since: float = -math.inf  # what was propagated last: the anchor or a fix
 
 
@@ -45,7 +47,7 @@ def assign(anchors: DataFrame, fixes: DataFrame, gates: Gates | None = None, by:
     """by, t, seq of every fix with anchor_seq, anchor_t, age, rejected (so far), reason (of the last rejection or expiry) and lost.
 
     anchors: by, t, seq, east, north, used, inlier_ratio, reproj, and headed (false: can't be propagated); fixes: by, t,
-    seq, and fail_before with first_state: what is propagated from earlier than fail_before fails, and nothing moves before first_state.
+    seq, is_open (of the gate; open where it lacks), and fail_before with first_state: what is propagated from earlier than fail_before fails, and nothing moves before first_state.
     """
     g = gates or Gates()
     quality = reject_reason(F.col("used"), F.col("inlier_ratio"), F.col("reproj"), g.min_used, g.min_ratio, g.max_reproj)
@@ -53,21 +55,28 @@ def assign(anchors: DataFrame, fixes: DataFrame, gates: Gates | None = None, by:
     headed = F.coalesce("headed", F.lit(False)) if "headed" in anchors.columns else F.lit(True)
     one = anchors.select(
         by, "t", F.lit(0).alias("kind"), F.col("seq").cast("long"), F.col("east").cast("double"), F.col("north").cast("double"), quality.alias("bad"),
-        none.cast("double").alias("fail_before"), none.cast("double").alias("first_state"), headed.alias("headed"),
+        none.cast("double").alias("fail_before"), none.cast("double").alias("first_state"), headed.alias("headed"), F.lit(True).alias("is_open"),
     )
+    shown = F.coalesce("is_open", F.lit(False)) if "is_open" in fixes.columns else F.lit(True)
     moving = "fail_before" in fixes.columns
     other = fixes.select(
         by, "t", F.lit(1).alias("kind"), F.col("seq").cast("long"), none.cast("double").alias("east"), none.cast("double").alias("north"), none.cast("string").alias("bad"),
-        *(F.col(c).cast("double").alias(c) if moving else none.cast("double").alias(c) for c in ("fail_before", "first_state")), F.lit(True).alias("headed"),
+        *(F.col(c).cast("double").alias(c) if moving else none.cast("double").alias(c) for c in ("fail_before", "first_state")), F.lit(True).alias("headed"), shown.alias("is_open"),
     )
 
     def step(state, row):
-        _, t, kind, seq, east, north, bad, fail_before, first_state, headed = row
+        _, t, kind, seq, east, north, bad, fail_before, first_state, headed, is_open = row
         state = state or _State([])
         if kind == 0:
             state.pending.append((t, seq, east, north, bad, headed))
             return state, []
 
+        if not is_open:
+            if state.open:
+                state = _State([], open=False)
+            return state, []
+        state.open = True
+
         def expire() -> None:
             if state.active and 0 < g.max_age < max(0.0, t - state.active[0]):
                 state.active, state.reason = None, "visual_anchor_expired"

@@ -139,7 +139,7 @@ def positions(
     """
     g, k = gates or anchor_rules.Gates(), limits or pre.Limits()
     opened = fixes.withColumn("is_open", F.coalesce("is_open", F.lit(False)) if "is_open" in fixes.columns else F.lit(True))
-    active = opened.where("is_open").select(by, "t", F.col("seq").cast("long").alias("seq"))
+    active = opened.select(by, "t", F.col("seq").cast("long").alias("seq"), "is_open")
     found = _assigned(active, given, states, g, k, by, width)
     chained = _chains(found.where("NOT lost"), given, states, k, by, width).select(
         F.col(by).alias("_by"), F.col("seq").alias("_seq"), "lon", "lat", "alt", "_rel", F.col("heading").alias("_compass"), "still", rot.length(rot.parts(F.col("vel"), 3)).alias("speed")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,54 +9,75 @@ from pyspark.sql import functions as F
 
 from fathomline.plans.fold import fold_sorted
 
-#: Query rows that are compared at once; a block is sent to every task.
+#: Rows of a block; a block of queries meets a block of the pool in one task.
 BLOCK = 2048
 
 
 def nearest(queries: DataFrame, pool: DataFrame, k: int = 2, qid: str = "q", pid: str = "p", vec: str = "vec") -> DataFrame:
     """q, p, distance (L2), rank of the k nearest pool rows of every query row; ties go to the smaller p.
 
-    Queries go through in blocks of BLOCK rows against all of the pool: each pool partition keeps k rows a
-    query, and these are ranked again.  Work is queries times pool, as exact search is; what moves is
-    k rows a query and partition.
+    Both sides are dealt into blocks by hash, and every pair of blocks meets by a shuffle: nothing passes
+    through the driver, and a task holds two blocks.  Work is queries times pool, as exact search is; a
+    pair of blocks gives k rows a query, and these are ranked again.
     """
-    spark = queries.sparkSession
-    rows = queries.select(qid, vec).toLocalIterator()
-    out = None
-    block: list = []
-
-    def against(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block], np.int64)
-        shipped = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], np.float64)))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, vectors = shipped.value
-            best_d, best_p = np.full((len(own), 0), np.inf), np.zeros((len(own), 0), np.int64)
-            for batch in batches:
-                p = batch.column(0).to_numpy()
-                if not len(p):
-                    continue
-                x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(p), -1)
+    n_q, n_p = (max(1, -(-df.count() // BLOCK)) for df in (queries, pool))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(qid).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v"), block(F.col(qid), n_q).alias("_q"), every(n_p).alias("_p"))
+    right = pool.select(F.col(pid).cast("long").alias("p"), F.col(vec).cast("array<double>").alias("v"), block(F.col(pid), n_p).alias("_p"), every(n_q).alias("_q"))
+
+    def vectors(table: pa.Table) -> np.ndarray:
+        return np.array(table.column("v").combine_chunks().flatten()).reshape(table.num_rows, -1)
+
+    def search(own: pa.Table, other: pa.Table) -> pa.Table:
+        n = min(k, other.num_rows)
+        q, p = own.column("q").to_numpy(), other.column("p").to_numpy()
+        best_d, best_p = np.empty((len(q), n)), np.empty((len(q), n), np.int64)
+        if len(q) and n:
+            x = vectors(other)
+            for row, v in enumerate(vectors(own)):
                 # differences, not the expanded square: distances of near copies keep their digits
-                d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in vectors])
-                best_d = np.concatenate([best_d, d], 1)
-                best_p = np.concatenate([best_p, np.broadcast_to(p, d.shape)], 1)
-                order = np.lexsort((best_p, best_d), axis=1)[:, :k]
-                best_d, best_p = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_p, order, 1)
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(best_p.reshape(-1)), pa.array(best_d.reshape(-1))], names=["q", "p", "distance"])
-
-        return pool.select(pid, vec).mapInArrow(search, "q bigint, p bigint, distance double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == BLOCK:
-            out = against(block) if out is None else out.unionByName(against(block))
-            block = []
-    if block or out is None:
-        out = against(block) if out is None else out.unionByName(against(block))
+                d = np.sqrt(((x - v) ** 2).sum(1))
+                order = np.lexsort((p, d))[:n]
+                best_d[row], best_p[row] = d[order], p[order]
+        return pa.table({"q": np.repeat(q, n), "p": best_p.reshape(-1), "distance": best_d.reshape(-1)})
+
+    met = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(search, "q bigint, p bigint, distance double")
+    return _ranked(met, k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "p"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest_by_hashes(queries: DataFrame, pool: DataFrame, k: int = 2, tables: int = 12, width: float = 1.0, seed: int = 7, qid: str = "q", pid: str = "p", vec: str = "vec") -> DataFrame:
+    """Approximately the same: only pool rows that share one of `tables` random-projection buckets (of `width`) with a query are compared.
+
+    A query that meets fewer than k rows so is searched exactly, so every query has its k rows.  A wider bucket or more
+    tables find more of the true neighbours and compare more; distances are exact.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    own = queries.select(F.col(qid).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("vec"))
+    other = pool.select(F.col(pid).cast("long").alias("p"), F.col(vec).cast("array<double>").alias("vec"))
+    with_vectors = lambda df: df.withColumn("features", array_to_vector("vec"))
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed)
+    model = lsh.fit(with_vectors(own.select("vec").unionByName(other.select("vec")).limit(1)))  # it only needs the vectors' length
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        hashed = model.transform(with_vectors(df))
+        return hashed.select(name, F.posexplode("hashes").alias("table", "h")).select(name, "table", F.col("h").cast("string").alias("bucket"))
+
+    pairs = keyed(own, "q").join(keyed(other, "p"), ["table", "bucket"]).select("q", "p").distinct()
+    gap = F.zip_with("vec", "_other", lambda x, y: (x - y) * (x - y))
+    distance = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
+    met = pairs.join(own, "q").join(other.withColumnRenamed("vec", "_other"), "p").select("q", "p", distance.alias("distance"))
+    found = _ranked(met, k)
+    short = own.join(found.groupBy("q").count().where(F.col("count") >= k).select("q"), "q", "left_anti")
+    rest = nearest(short, other, k, "q", "p", "vec")
+    return found.join(short.select("q"), "q", "left_anti").unionByName(rest)
 
 
 def ratio_matches(neighbours: DataFrame, ratio: float) -> DataFrame:
@@ -101,4 +120,4 @@ def spaced(features: DataFrame, least: float, by: str = "frame_id", order: list[
     return fold_sorted(given, by, ["_o", "number"], step, f"{by} {kinds[by]},number {kinds['number']},x double,y double,score double")
 
 
-__all__ = ["mutual_matches", "nearest", "ratio_matches", "spaced"]
+__all__ = ["mutual_matches", "nearest", "nearest_by_hashes", "ratio_matches", "spaced"]

@@ -133,3 +133,43 @@ def fusion_json(df: DataFrame) -> DataFrame:
     values = fusion_fields(df, "null", quoted, ("false", "true"))
     pairs = [F.concat(F.lit(f'"{name}":'), value) for name, value in zip(FUSION_COLUMNS, values, strict=True)]
     return df.select("fix_index", F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("json"))
+
+
+def publish(stream: DataFrame, path: str, key: str = "vehicle_id", order: str = "t", checkpoint: str | None = None):
+    """Start a query that publishes each row of a stream as JSON once, and keeps every key's last row for readers that come late.
+
+    A micro-batch has folders of its own, named by its number, which it overwrites whole: one that is run
+    again after a failure changes nothing.  path/rows has every row (key, order, value), path/last one row a key
+    as of each batch; `last_rows` reads the newest.  Rows with a null order are published and never the last if
+    the key has another.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fields = batch.columns
+        rows = batch.select(F.col(key), F.col(order), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        now = spark.read.parquet(f"{path}/rows/batch={number}")
+        before = _newest(spark, path, number)
+        every = now if before is None else now.unionByName(before)
+        last = every.groupBy(key).agg(F.max(F.struct(F.col(order), F.col("value"))).alias("_l")).select(key, F.col(f"_l.{order}").alias(order), "_l.value")
+        last.write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def _newest(spark, path: str, below: int | None = None) -> DataFrame | None:
+    """The kept rows as of the last batch (with a number below the given one)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/last")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    done = [s.getPath() for s in files.listStatus(folder)]
+    numbers = [int(p.getName().partition("=")[2]) for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    found = max((n for n in numbers if below is None or n < below), default=None)
+    return None if found is None else spark.read.parquet(f"{path}/last/batch={found}")
+
+
+def last_rows(spark, path: str) -> DataFrame | None:
+    """The last row of every key that `publish` has seen; None before the first batch."""
+    return _newest(spark, path)

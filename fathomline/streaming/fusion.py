@@ -11,6 +11,9 @@ State: position and velocity east, north, up, and the covariance of the position
   quality check has turned down carries the reason, and one whose position isn't finite is turned down
   as "visual_reject_invalid_pose": both only move the filter to their time, under that source.
 
+* "close": the gate has closed.  The filter and its history are forgotten; only the scale of visual
+  covariances stays.
+
 Accelerations that aren't finite are dropped, as are visual events with a covariance that isn't.
 
 `fuse` runs over a table in event time.  `fuse_stream` runs over a stream in order of arrival: a
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fathomline.plans.fold import fold_sorted
 
-KINDS = {"imu": 0, "visual": 1}
+KINDS = {"imu": 0, "visual": 1, "close": 2}
 OUT = "t double,seq bigint,source string,east double,north double,up double,var_e double,var_n double,var_u double,speed double,nis double"
 EVENT = ("t", "seq", "kind", "x", "y", "z", "vx", "vy", "vz")
 #: Covariances east-north, east-up and north-up, and the reason of a rejection; a stream may lack them.
@@ -163,6 +166,9 @@ class Filter:
         """An output row (OUT), or None before the filter has started and for what is dropped; event: EVENT, with or without MORE."""
         t, seq, kind, x, y, z, vx, vy, vz, *more = event
         nis = None
+        if kind == KINDS["close"]:
+            self.__init__(scale=self.scale)
+            return None
         if kind == KINDS["imu"]:
             if self.t is None or t < self.t or not _sound(x, y, z):
                 return None
@@ -177,10 +183,11 @@ class Filter:
         return (t, seq, source, *self.pos, *self.var, math.hypot(*self.vel), nis)
 
 
-def events(imu: DataFrame, visual: DataFrame, by: str = "vehicle_id") -> DataFrame:
+def events(imu: DataFrame, visual: DataFrame, closes: DataFrame | None = None, by: str = "vehicle_id") -> DataFrame:
     """One table of events from accelerations (a_east, a_north, a_up) and positions (east, north, up, var_e, var_n, var_u).
 
-    Positions may have cov_en, cov_eu, cov_nu (zero where they lack) and reason (of a failed quality check).
+    Positions may have cov_en, cov_eu, cov_nu (zero where they lack) and reason (of a failed quality check).  closes: by, t, seq
+    of the rows at which the gate closes (`clean.open_gate`, edge "close").
     """
 
     def rows(df: DataFrame, kind: str, names: list[str | None]) -> DataFrame:
@@ -189,7 +196,8 @@ def events(imu: DataFrame, visual: DataFrame, by: str = "vehicle_id") -> DataFra
         return df.select(by, "t", F.col("seq").cast("long").alias("seq"), F.lit(KINDS[kind]).alias("kind"), *picked)
 
     accelerations = rows(imu, "imu", ["a_east", "a_north", "a_up", *[None] * 7])
-    return accelerations.unionByName(rows(visual, "visual", ["east", "north", "up", "var_e", "var_n", "var_u", "cov_en", "cov_eu", "cov_nu", "reason"]))
+    every = accelerations if closes is None else accelerations.unionByName(rows(closes, "close", [None] * 10))
+    return every.unionByName(rows(visual, "visual", ["east", "north", "up", "var_e", "var_n", "var_u", "cov_en", "cov_eu", "cov_nu", "reason"]))
 
 
 def _whole(stream: DataFrame, by: str) -> DataFrame:
@@ -217,6 +225,10 @@ class Tracker:
     past: list = field(default_factory=list)  # (event, filter before it)
 
     def take(self, event: tuple, k: Tuning) -> list[tuple]:
+        if event[2] == KINDS["close"]:
+            self.now.apply(event, k)
+            self.past = []
+            return []
         late = self.now.t is not None and event[0] + 1e-9 < self.now.t
         if not late:
             self.past.append((event, asdict(self.now)))
