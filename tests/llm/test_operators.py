@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -519,7 +520,7 @@ def test_wrapper_of_a_generated_template(spark, monkeypatch):
     assert {k: out[k]["text"] for k in want} == want and all(r["by_wrapper"] for r in out.values())
     assert out[100]["text"] == "deep text" and out[101]["text"] == "deep text deep text"
     (wrapper,) = [r["wrapper"] for r in wrappers.infer_wrappers(df).where("host = 't.example'").collect()]
-    assert {"html/body/div.x/p", "html/body/div.x/blockquote", "html/body/div.x/table/tr/td"} <= wrappers.slots_of(__import__("json").loads(wrapper))
+    assert {"html/body/div.x/p", "html/body/div.x/blockquote", "html/body/div.x/table/tr/td"} <= wrappers.slots_of(json.loads(wrapper))
     assert '["?", ["blockquote"' in wrapper and '"+"' in wrapper
 
 
@@ -538,3 +539,42 @@ def test_alignment_covers_both(spark):
         one, other = ([rng.choice("abcde") for _ in range(rng.randrange(1, 12))] for _ in range(2))
         both = flat(wrappers.merge(one, other))
         assert within(one, both) and within(other, both), (one, other, both)
+
+
+def test_wrapper_matches_what_was_merged():
+    """Every merged sequence matches the wrapper, and matching says the same as a regular expression."""
+    rng = random.Random(11)
+
+    def pattern(items):
+        return "".join(x if isinstance(x, str) else f"(?:{pattern(x[1])}){x[0]}" for x in items)
+
+    for _ in range(150):
+        pages = [[rng.choice("abc") for _ in range(rng.randrange(1, 14))] for _ in range(6)]
+        out = wrappers.fold(pages[0])
+        for page in pages[1:]:
+            out = wrappers.merge(out, wrappers.fold(page))
+        wrapper, same = wrappers.Wrapper(json.dumps(out)), re.compile(pattern(out))
+        for page in [*pages, *[[rng.choice("abc") for _ in range(rng.randrange(14))] for _ in range(20)]]:
+            found = wrapper.match(page)
+            assert (found is not None) == bool(same.fullmatch("".join(page))), (out, page)
+            assert page not in pages or found is not None
+            assert found is None or [wrapper.tokens[j] for j in found] == page
+
+
+def test_slots_without_telling_names(spark):
+    """Teasers with links outweigh the article, and three lists have the same tags: figures of the wrapper's slots tell, names don't."""
+    rng, rows, want = random.Random(8), [], {}
+    for k in range(24):
+        body = [prose(900 * k + j, 30) for j in range(rng.randrange(2, 5))]
+        teasers = "".join(f"<div class='q'>{prose(7000 + 10 * k + j, 25)} <a>more</a></div>" for j in range(6))
+        linked = f"<p>{prose(k, 6)} <a href='/x'>{prose(k + 1, 2)}</a> {prose(k + 2, 6)}</p>" if k % 4 == 0 else ""
+        rows.append((k, "http://q.example/" + str(k), f"<body>{teasers}<div class='z'>{linked}<h2>In short</h2>" + "".join(f"<p>{b}</p>" for b in body) + "</div></body>"))
+        want[k] = " ".join([*([" ".join([prose(k, 6), prose(k + 1, 2), prose(k + 2, 6)])] if linked else []), "In short", *body])
+        links = "".join(f"<p><a>{prose(k + j, 3)}</a></p>" for j in range(3 + k % 2))
+        lists = f"<div><p>The house of all things, as ever, in every town of the land</p></div><div>{links}</div>"
+        rows.append((100 + k, "http://p.example/" + str(k), f"<body>{lists}<div>" + "".join(f"<p>{b}</p>" for b in body) + "</div></body>"))
+        want[100 + k] = " ".join(body)
+    out = {r["page_id"]: r for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert {k: r["text"] for k, r in out.items()} == want and all(r["by_wrapper"] for r in out.values())
+    alone = {k: wrappers.extract(page, None, frozenset())[0] for k, _, page in rows}
+    assert all(alone[k] != want[k] for k in want)
