@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathomline.plans import q_composites, q_frames, q_fusion, q_geometry, q_ingest, q_motion, q_sync, q_tracks
+from fathomline.plans import q_calibration, q_composites, q_frames, q_fusion, q_geometry, q_ingest, q_motion, q_sync, q_tracks
 
-MODULES = (q_tracks, q_frames, q_fusion, q_composites, q_ingest, q_motion, q_geometry, q_sync)
+MODULES = (q_tracks, q_frames, q_fusion, q_composites, q_ingest, q_motion, q_geometry, q_sync, q_calibration)
 FLAGSHIP = "traj_error_summary"
 
 QUERIES: dict = {}
