@@ -6,6 +6,8 @@ stops a job over many files: what a file lacks is in its column `reason` (null i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})")), lambda x: x.cast("double"))
 
@@ -98,20 +105,19 @@ def extrinsics(text: Column, camera: str = "cam0") -> Column:
 
 def settings(text: Column) -> Column:
     """Map of "section.key" to the value's text of two levels of `key: value`; the last of equal keys stands, quotes and remarks go."""
-    plain = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"(^|\s)#.*$", ""))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"(^|\s)#.*$", ""))
+    key = lambda x: F.regexp_extract(x, r"^\s*([\w.-]+)\s*:", 1).alias("key")
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^\s*[\w.-]+\s*:", "")), r"""^(["'])(.*)\1$""", "$2").alias("value")
+    pairs = F.filter(F.transform(lines, lambda x: F.struct(key(x), value(x), x.rlike(r"^[ \t]").alias("inner"))), lambda p: p["key"] != "")
     start = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<key:string,value:string>>").alias("found"))
 
-    def take(state: Column, line: Column) -> Column:
-        key, value = F.trim(F.regexp_extract(line, r"^\s*([\w.-]+)\s*:", 1)), F.trim(F.regexp_replace(line, r"^\s*[\w.-]+\s*:", ""))
-        inner = line.rlike(r"^[ \t]")
-        section = F.when((key != "") & ~inner, key).otherwise(state["section"])
-        name = F.when(inner, F.concat_ws(".", state["section"], key)).otherwise(key)
-        value = F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2")
-        entry = F.array(F.struct(name.alias("key"), value.alias("value")))
-        found = F.when(key != "", F.concat(F.filter(state["found"], lambda e: e["key"] != name), entry)).otherwise(state["found"])
-        return F.struct(section.alias("section"), found.alias("found"))
+    def take(state: Column, pair: Column) -> Column:
+        name = F.when(pair["inner"], F.concat_ws(".", state["section"], pair["key"])).otherwise(pair["key"])
+        section = F.when(pair["inner"], state["section"]).otherwise(pair["key"])
+        entry = F.array(F.struct(name.alias("key"), pair["value"].alias("value")))
+        return F.struct(section.alias("section"), F.concat(F.filter(state["found"], lambda e: e["key"] != name), entry).alias("found"))
 
-    return F.map_from_entries(F.aggregate(plain, start, take, lambda s: s["found"]))
+    return F.map_from_entries(F.aggregate(pairs, start, take, lambda s: s["found"]))
 
 
 def _sibling(path: Column, suffix: str, extension: str | None) -> Column:
@@ -137,7 +143,10 @@ def run_configuration(text: Column, sizes: tuple[int, int] = (512, 512)) -> Colu
 
     A number that isn't one counts as 0, so it is replaced too.  sizes: height and width where a text names none.
     """
-    found = settings(text)
+    return _once(settings(text), lambda found: _checked(found, sizes))
+
+
+def _checked(found: Column, sizes: tuple[int, int]) -> Column:
     get = lambda key: F.element_at(found, key)
     has = lambda key: F.coalesce(get(key), F.lit("")) != ""
     sections = F.transform(F.map_keys(found), lambda k: F.split(k, r"\.")[0])
