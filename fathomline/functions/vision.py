@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomline.functions.decimals import fixed_text
 from fathomline.functions.geo import finite
 
 # Fixed values: (feature, reference, slope) of the fitted variance trends, and their clips.
@@ -150,4 +151,5 @@ def obliqueness(x: Column, y: Column, z: Column) -> Column:
 
 
 def variance_text(x: Column, y: Column, z: Column) -> Column:
-    return F.format_string("[%.9f,%.9f,%.9f]", x, y, z)
+    texts = [F.coalesce(fixed_text(v, 9), F.lit("null")) for v in (x, y, z)]
+    return F.concat(F.lit("["), F.concat_ws(",", *texts), F.lit("]"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import vision
+from fathomline.functions.decimals import fixed_text
 from fathomline.functions.geo import finite
 
 # The columns of the result row of a frame.
@@ -35,7 +36,7 @@ TEXTS = {"anchor_reject_reason", "heading_source", "failure_reason"}
 
 def fixed(value: Column, digits: int, missing: str | None = "nan") -> Column:
     """Fixed decimals as text; null and NaN become `missing`."""
-    return F.when(~finite(value), missing).otherwise(F.format_string(f"%.{digits}f", value))
+    return F.when(~finite(value), missing).otherwise(fixed_text(value, digits))
 
 
 def csv_table(df: DataFrame, digits: dict[str, int], missing: str | None = "nan") -> DataFrame:
