@@ -6,6 +6,8 @@ the projection at the weighted reference point takes it to the ground.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ LEAST, MIX, NOISE = 4, {"h": 0.25, "p": 0.25, "d": 0.5}, 1e-4
 #: Beyond this condition the Jacobian is inverted as J'J with this ridge.
 MOST_CONDITION, RIDGE = 1e4, 1e-6
 LEAST_WEIGHT = 1e-3
+POINT = ("u", "v", "hu", "hv", "x", "y", "z", "score")
 
 
 def project(r: Column, t: Column, point: tuple[Column, Column, Column], camera: tuple[Column, ...]) -> tuple[Column, Column]:
@@ -76,20 +79,23 @@ def statistics(points: DataFrame, poses: DataFrame, by: str = "frame_id") -> Dat
     Points without a finite prediction are left out; a frame with fewer than LEAST, or without a pose, has nulls and is not valid.
     """
     camera = tuple(F.col(c) for c in ("fx", "fy", "cx", "cy"))
-    own = poses.select(F.col(by).alias("_by"), "r", "t", *camera)
-    met = points.join(own, F.col(by).eqNullSafe(F.col("_by")))
+    own = poses.select(F.col(by).alias("_by"), F.struct("r", "t", *camera).alias("_pose"))
+    met = points.join(own, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, *POINT, "_pose", *[F.col(f"_pose.{c}").alias(c) for c in ("r", "t", "fx", "fy", "cx", "cy")])
     pu, pv = project(F.col("r"), F.col("t"), (F.col("x"), F.col("y"), F.col("z")), camera)
-    met = met.withColumns({"pu": pu, "pv": pv, "w": F.greatest("score", F.lit(LEAST_WEIGHT))}).where(geo.finite(*map(F.col, ("u", "v", "hu", "hv", "pu", "pv"))))
+    met = met.withColumns({"pu": pu, "pv": pv, "w": F.greatest("score", F.lit(LEAST_WEIGHT))})
+    met = met.withColumn("_ok", F.coalesce(geo.finite(*map(F.col, ("u", "v", "hu", "hv", "pu", "pv"))), F.lit(False)))
     residuals = {"h": ("hu - u", "hv - v"), "p": ("pu - u", "pv - v"), "d": ("pu - hu", "pv - hv")}
-    rows = met.select(by, "w", "x", "y", "z", *[F.expr(e).alias(f"{k}{axis}") for k, pair in residuals.items() for axis, e in zip("uv", pair, strict=True)])
-    centre = rows.groupBy(by).agg(F.count(F.lit(1)).alias("shared"), *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in "xyz"]).where(F.col("shared") >= LEAST)
-    out = centre
-    for k in residuals:
-        cov = frames.robust_covariance(rows, f"{k}u", f"{k}v", "w", by)
-        out = out.join(cov.select(F.col(by).alias("_k"), *[F.col(c).alias(f"{k}_{c}") for c in ("var_u", "cov_uv", "var_v", "rmse")]), F.col(by).eqNullSafe(F.col("_k"))).drop("_k")
+    gaps = [F.expr(e).alias(f"{k}{axis}") for k, pair in residuals.items() for axis, e in zip("uv", pair, strict=True)]
+    rows = met.select(by, "_ok", "_pose", F.when(F.col("_ok"), F.struct("w", "x", "y", "z", *gaps)).alias("_p"))
+    # one shuffle: all that is known of a frame follows from its points and its pose
+    weighted = {c: F.sum(F.col("_p.w") * F.col(f"_p.{c}")) / F.sum("_p.w") for c in "xyz"}
+    every = rows.groupBy(by).agg(F.count_if("_ok").alias("shared"), F.first("_pose").alias("_pose"), F.collect_list("_p").alias("_points"), *[c.alias(name) for name, c in weighted.items()])
+    out = every.select(by, "shared", "_pose", "x", "y", "z", *[F.when(F.col("shared") >= LEAST, frames.covariance_of(F.col("_points"), f"{k}u", f"{k}v")).alias(f"_{k}") for k in residuals])
+    known = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_{k}.n") > 0, F.lit(False)) for k in residuals])
+    out = out.select(by, "shared", "x", "y", "z", F.when(known, F.col("_pose")).alias("_pose"), *[F.when(known, F.col(f"_{k}.{c}")).alias(f"{k}_{c}") for k in residuals for c in ("var_u", "cov_uv", "var_v", "rmse")])
+    out = out.select("*", "_pose.*")
     mixed = lambda c, more: sum((share * F.col(f"{k}_{c}") for k, share in MIX.items()), F.lit(more))
     out = out.withColumns({"px_var_u": mixed("var_u", NOISE), "px_cov_uv": mixed("cov_uv", 0.0), "px_var_v": mixed("var_v", NOISE)})
-    out = out.join(own, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     out = out.withColumn("j", jacobian(F.col("r"), F.col("t"), (F.col("x"), F.col("y"), F.col("z")), camera))
     out = out.withColumns({"condition": vision.condition_2x2(*rot.parts(F.col("j"), 4)), "_g": pixel_to_ground(F.col("j"))})
     xu, xv, yu, yv = rot.parts(F.col("_g"), 4)
@@ -98,7 +104,4 @@ def statistics(points: DataFrame, poses: DataFrame, by: str = "frame_id") -> Dat
     out = out.withColumn("scale", F.when((F.col("scale_u") > 0) & (F.col("scale_v") > 0), (F.col("scale_u") + F.col("scale_v")) / 2))
     valid = geo.finite(F.col("var_x"), F.col("var_y"), F.col("scale")) & (F.col("var_x") >= 0) & (F.col("var_y") >= 0)
     names = ["px_var_u", "px_cov_uv", "px_var_v", "j", "condition", "scale_u", "scale_v", "scale", "var_x", "var_y"]
-    done = out.select(F.col(by).alias("_done"), *[F.col(f"{k}_rmse").alias(f"rmse_{k}") for k in MIX], *names, valid.alias("valid"))
-    every = points.groupBy(by).agg(F.lit(1).alias("_one")).join(rows.groupBy(F.col(by).alias("_n")).agg(F.count(F.lit(1)).alias("shared")), F.col(by).eqNullSafe(F.col("_n")), "left")
-    joined = every.join(done, F.col(by).eqNullSafe(F.col("_done")), "left")
-    return joined.select(by, F.coalesce("shared", F.lit(0)).alias("shared"), *[f"rmse_{k}" for k in MIX], *names, F.coalesce("valid", F.lit(False)).alias("valid"))
+    return out.select(by, "shared", *[F.col(f"{k}_rmse").alias(f"rmse_{k}") for k in MIX], *names, F.coalesce(valid, F.lit(False)).alias("valid"))

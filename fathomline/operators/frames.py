@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo
+from fathomline.functions import rotations as rot
 
 
 def floor_quantile(values: Column, q: float) -> Column:
@@ -48,31 +49,59 @@ def reference_point(points: DataFrame, x: str, y: str, score: str, by: str = "fr
     return points.groupBy(by).agg((F.sum(w * F.col(x)) / F.sum(w)).alias("x"), (F.sum(w * F.col(y)) / F.sum(w)).alias("y"))
 
 
-def robust_covariance(points: DataFrame, u: str, v: str, w: str, by: str = "frame_id", q: float = 0.9) -> DataFrame:
-    """by, n, kept, var_u, var_v, cov_uv and rmse of residuals.
+def covariance_of(points: Column, u: str, v: str, w: str = "w", q: float = 0.9) -> Column:
+    """Struct of n, kept, var_u, var_v, cov_uv and rmse of the residuals (fields u and v, weight w) of an array of points; n is 0 where none counts.
 
     Residuals with a finite value and positive weight count; those longer than the floor quantile q of
     all lengths are clipped unless fewer than two would remain.  The rest is centred on its medians; the
     covariance is weighted, and so is the rmse, which is not centred.
     """
+
+    def sized(p: Column) -> Column:
+        use = geo.finite(p[u], p[v], p[w]) & (p[w] > 0)
+        return F.when(use, F.struct(F.hypot(p[u], p[v]).alias("len"), p[u].alias("u"), p[v].alias("v"), p[w].alias("w")))
+
+    def clipped(all_: Column) -> Column:
+        limit = F.get(all_, F.floor(F.lit(q) * (F.size(all_) - 1)).cast("int"))["len"]
+        return rot.let(F.struct(all_.alias("all"), rot.let(limit, lambda top: F.filter(all_, lambda p: p["len"] <= top + 1e-12)).alias("near")), kept)
+
+    def kept(s: Column) -> Column:
+        rows = F.when(F.size(s["near"]) < 2, s["all"]).otherwise(s["near"])
+        return F.struct(F.size(s["all"]).cast("long").alias("n"), rows.alias("rows"))
+
+    def centred(s: Column) -> Column:
+        return F.struct(s["n"].alias("n"), s["rows"].alias("rows"), *[median(F.array_sort(s["rows"][c])).alias(f"m{c}") for c in "uv"])
+
+    def median(values: Column) -> Column:
+        # as percentile does: between the two in the middle
+        def middle(x: Column) -> Column:
+            low, high = (F.get(x, (F.floor((F.size(x) - k) / 2)).cast("int")) for k in (1, 0))
+            return F.when(F.size(x) % 2 == 1, low).otherwise(low * 0.5 + high * 0.5)
+
+        return rot.let(values, middle)
+
+    def summed(s: Column) -> Column:
+        def add(t: Column, p: Column) -> Column:
+            du, dv = p["u"] - s["mu"], p["v"] - s["mv"]
+            parts = {"w": p["w"], "uu": p["w"] * du * du, "vv": p["w"] * dv * dv, "uv": p["w"] * du * dv, "e": p["w"] * (p["u"] * p["u"] + p["v"] * p["v"])}
+            return F.struct(*[(t[c] + x).alias(c) for c, x in parts.items()])
+
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "uu", "vv", "uv", "e")])
+        return F.struct(s["n"].alias("n"), F.size(s["rows"]).cast("long").alias("kept"), F.aggregate(s["rows"], zero, add).alias("t"))
+
+    def shares(s: Column) -> Column:
+        of = lambda c: F.when(s["n"] > 0, s["t"][c] / F.when(s["t"]["w"] > 0, s["t"]["w"]))
+        return F.struct(s["n"].alias("n"), s["kept"].alias("kept"), of("uu").alias("var_u"), of("vv").alias("var_v"), of("uv").alias("cov_uv"), F.sqrt(of("e")).alias("rmse"))
+
+    ranked = F.array_sort(F.array_compact(F.transform(points, sized)))
+    return rot.let(rot.let(rot.let(rot.let(ranked, clipped), centred), summed), shares)
+
+
+def robust_covariance(points: DataFrame, u: str, v: str, w: str, by: str = "frame_id", q: float = 0.9) -> DataFrame:
+    """by, n, kept, var_u, var_v, cov_uv and rmse of residuals as `covariance_of` has them; a frame's points are one row, as they are for its medians anyhow."""
     use = geo.finite(F.col(u), F.col(v), F.col(w)) & (F.col(w) > 0)
-    own = Window.partitionBy(by)
-    rows = points.where(use).select(by, F.col(u).alias("u"), F.col(v).alias("v"), F.col(w).alias("w"), F.hypot(u, v).alias("len"))
-    rows = rows.withColumns({"n": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("len"))})
-    limit = F.max(F.when(F.col("_r") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1, F.col("len"))).over(own)
-    rows = rows.withColumn("_in", F.col("len") <= limit + 1e-12)
-    rows = rows.withColumn("_kept", F.count_if("_in").over(own)).where(F.col("_in") | (F.col("_kept") < 2))
-    medians = rows.groupBy(by).agg(F.median("u").alias("mu"), F.median("v").alias("mv"))
-    centred = rows.join(medians, by).withColumns({"du": F.col("u") - F.col("mu"), "dv": F.col("v") - F.col("mv")})
-    total = F.sum("w")
-    return centred.groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.count(F.lit(1)).alias("kept"),
-        (F.sum(F.col("w") * F.col("du") * F.col("du")) / total).alias("var_u"),
-        (F.sum(F.col("w") * F.col("dv") * F.col("dv")) / total).alias("var_v"),
-        (F.sum(F.col("w") * F.col("du") * F.col("dv")) / total).alias("cov_uv"),
-        F.sqrt(F.sum(F.col("w") * (F.col("u") * F.col("u") + F.col("v") * F.col("v"))) / total).alias("rmse"),
-    )
+    rows = points.where(use).groupBy(by).agg(F.collect_list(F.struct(F.col(u).alias("u"), F.col(v).alias("v"), F.col(w).alias("w"))).alias("_p"))
+    return rows.select(by, covariance_of(F.col("_p"), "u", "v", "w", q).alias("_c")).select(by, "_c.*")
 
 
 def top_k(points: DataFrame, order: list[Column], k: int, by: str = "frame_id") -> DataFrame:

@@ -93,3 +93,11 @@ def test_two_geometries(spark):
     h = spark.createDataFrame([(1, [2.0, 0.0, 1.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0])], "frame_id bigint, h array<double>")
     seen = dual_geometry.homography_predictions(spark.createDataFrame([(1, 4.0, 6.0), (9, 1.0, 1.0)], "frame_id bigint, map_x double, map_y double"), h, (2.0, 2.0), (10.0, 10.0)).collect()
     assert {r["frame_id"]: (r["hu"], r["hv"]) for r in seen} == {1: (25.0, 30.0), 9: (None, None)}
+
+
+def test_dual_geometry_shuffles_points_once(spark):
+    """Points and poses meet in one join, and a frame's statistics follow from one grouping; it was a join and five windows for each kind of residual."""
+    points = spark.range(40).selectExpr("id % 7 frame_id", "id * 1D u", "id * 2D v", "id + 1D hu", "id - 1D hv", "id * 1D x", "id * 1D y", "0D z", "1D score")
+    pose = spark.range(7).selectExpr("id frame_id", "array(1D, 0D, 0D, 0D, -1D, 0D, 0D, 0D, -1D) r", "array(0D, 0D, 120D) t", "600D fx", "600D fy", "300D cx", "200D cy")
+    plan = dual_geometry.statistics(points, pose)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.splitlines()) <= 3 and "Window" not in plan
