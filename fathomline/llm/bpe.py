@@ -1,13 +1,9 @@
-"""Byte-level BPE encoding and decoding by recursive DuckDB queries inside each partition.
+"""Byte-level BPE encoding and decoding of the distinct words of each partition.
 
-Texts are cut into words by the vocabulary's pattern.  A partition's distinct words become
-token-position rows; each round of a recursive query joins neighbouring tokens with the merge table
-and contracts every word's leftmost pair of least rank, until no pair of any word can be merged.
-Decoding joins token-position rows with the vocabulary and aggregates the bytes in order.  Words are
-encoded in blocks of WORDS_A_QUERY, which bounds DuckDB's memory; a bounded memo keeps what a worker
-has seen.  A round contracts one pair of a word, so a word of LONG bytes or more (a run of one
-letter, say) would need as many rounds as it has bytes; such words are merged with a heap instead,
-by the same rule.
+Texts are cut into words by the vocabulary's pattern.  A word's neighbouring pair of least rank, the leftmost of equal ones, is
+merged until no pair can be; a bounded memo keeps what a worker has seen.  A word of LONG bytes or more (a run of one letter, say)
+is merged with a heap instead, by the same rule, for searching all its pairs again after each merge would take the square of its
+length.  Decoding puts the bytes of the tokens together.
 
 Defined results: a null text is empty and has no tokens; repeated rows get equal results; an empty
 table gives an empty result; other columns are ignored.
@@ -17,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -24,36 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_A_QUERY = 100_000
+from fathomline.llm.common import release, worker_cache
+
 LONG = 256
 MEMO_WORDS = 300_000
 #: Texts of a task are worked on in groups of about this many characters.
-CHARS_A_GROUP = 4_000_000
+CHARS_A_GROUP = 1_000_000
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
-ENCODE = """
-WITH RECURSIVE run(word, pos, id, done) AS (
-  SELECT word, pos, id, false FROM word_bytes
-  UNION ALL
-  (WITH paired AS (
-     SELECT word, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-     FROM run WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)),
-   scored AS (
-     SELECT p.*, (m.rank::BIGINT << 32) + p.pos AS score
-     FROM paired p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id),
-   best AS (SELECT word, min(score) AS least FROM scored GROUP BY word)
-   SELECT word, pos, CASE WHEN score = least THEN (least >> 32)::INT ELSE id END, least IS NULL
-   FROM scored JOIN best USING (word)
-   WHERE before IS NULL OR least IS NULL OR before <> (least & 4294967295))
-)
-SELECT word, id FROM run WHERE done ORDER BY word, pos
-"""
-
-DECODE = """
-SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM word_tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word ORDER BY t.word
-"""
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -64,23 +39,10 @@ class Codec:
     """Encoder and decoder of one worker process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import duckdb
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        pairs = [
-            (ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
-        ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-        table = lambda names, rows: pa.table([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], names=names)
-        merges = table(["left_id", "right_id", "rank"], pairs)
-        vocabulary = pa.table({"id": pa.array(self.token, pa.int32()), "hex": [t.hex() for t in self.token.values()]})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("given", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-            self.db.unregister("given")
         self.memo: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
@@ -92,51 +54,27 @@ class Codec:
         new = wanted - self.memo.keys()
         again = new & self.older.keys()
         self.memo.update((w, self.older[w]) for w in again)
-        new = sorted(new - again)
-        for k in range(0, len(new), WORDS_A_QUERY):
-            self._learn(new[k : k + WORDS_A_QUERY])
-
-    def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        ids: list[bytes | None] = [None] * len(words)
-        open_words = []
-        for k, w in enumerate(raw):
-            if (whole := self.ranks.get(w)) is not None:
-                ids[k] = whole.to_bytes(4, "little")
-            elif len(w) >= LONG:
-                ids[k] = np.array(self.heap_merge(w), "<u4").tobytes()
-            else:
-                open_words.append(k)
-        if open_words:
-            lengths = np.array([len(raw[k]) for k in open_words])
-            starts = np.cumsum(lengths) - lengths
-            data = np.frombuffer(b"".join(raw[k] for k in open_words), np.uint8)
-            rows = pa.table(
-                {
-                    "word": np.repeat(np.array(open_words, np.int32), lengths),
-                    "pos": (np.arange(len(data)) - np.repeat(starts, lengths)).astype(np.int32),
-                    "id": np.array(self.byte_id, np.int32)[data],
-                }
-            )
-            got = self._query(ENCODE, "word_bytes", rows)
-            word, buffer = got["word"].to_numpy(), got["id"].to_numpy().astype("<u4").tobytes()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]])
-            for k, start, end in zip(word[edges[:-1]].tolist(), (4 * edges[:-1]).tolist(), (4 * edges[1:]).tolist(), strict=True):
-                ids[k] = buffer[start:end]
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        counts = np.array([len(i) // 4 for i in ids])
-        tokens = pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), counts), "pos": np.arange(len(flat), dtype=np.int32), "id": flat})
-        decoded = self._query(DECODE, "word_tokens", tokens)["hex"].to_pylist()
-        self.memo.update(zip(words, zip(ids, map(bytes.fromhex, decoded), strict=True), strict=True))
-
-    def _query(self, sql: str, name: str, rows: pa.Table) -> pa.Table:
-        self.db.register(name, rows)
-        try:
-            return self.db.sql(sql).to_arrow_table()
-        finally:
-            self.db.unregister(name)
+        for w in new - again:
+            raw = w.encode("utf-8", "surrogatepass")
+            ids = self.heap_merge(raw) if len(raw) >= LONG else self.merge(raw)
+            self.memo[w] = struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.token.__getitem__, ids))
+
+    def merge(self, word: bytes) -> list[int]:
+        """Token ids of a word: the leftmost pair of least rank is merged until none can be."""
+        if (whole := self.ranks.get(word)) is not None:
+            return [whole]
+        rank, never = self.ranks.get, 1 << 32
+        parts = [word[k : k + 1] for k in range(len(word))]
+        pairs = [rank(word[k : k + 2], never) for k in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < never:
+            k = pairs.index(least)
+            parts[k] += parts.pop(k + 1)
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = rank(parts[k] + parts[k + 1], never)
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + parts[k], never)
+        return [self.ranks[p] for p in parts]
 
     def heap_merge(self, word: bytes) -> list[int]:
         """The same merges for one long word: a heap of (rank, position) over a linked list."""
@@ -175,7 +113,7 @@ class Codec:
         return ids, decoded
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[tuple, Codec] = worker_cache()
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,6 +123,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: s
     key_type = docs.schema[key].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(_codecs)
         if label not in _codecs:
             _codecs.clear()
             _codecs[label] = Codec(shipped.value, pattern)
