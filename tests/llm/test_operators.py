@@ -357,6 +357,14 @@ def test_quality_classifier(spark):
     assert kneser_ney.judge(documents(spark, []), labels).count() == 0
 
 
+def test_half_of_all_trusted_documents_is_fitted(spark):
+    """No bound: of many trusted documents every other is counted, in every language."""
+    trusted = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "aa").alias("lang"))
+    fitted = kneser_ney.fitted_ids(trusted).withColumn("small", F.col("doc_id") % 10 == 0)
+    n = {r["small"]: r["count"] for r in fitted.groupBy("small").count().collect()}
+    assert abs(n[False] - 13_500) < 400 and abs(n[True] - 1_500) < 150
+
+
 def test_limits_cover_all_trusted_documents(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TRUSTED_DOCUMENTS", 60)
     monkeypatch.setattr(kneser_ney, "PRIOR_DOCUMENTS", 0)
