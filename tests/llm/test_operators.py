@@ -365,6 +365,37 @@ def test_half_of_all_trusted_documents_is_fitted(spark):
     assert abs(n[False] - 13_500) < 400 and abs(n[True] - 1_500) < 150
 
 
+def test_frequent_ngrams_have_slots(spark, monkeypatch):
+    """N-grams that share a slot number go to the workers together, so few leave them; every value is found once."""
+    import types
+
+    import numpy as np
+
+    monkeypatch.setattr(kneser_ney, "SLOTS", 1 << 10)
+    monkeypatch.setattr(kneser_ney, "SLOTS_A_BLOCK", 1 << 8)
+    rows = [(k * 1024 * (-1) ** k + 77, float(k + 1), 1000 - k) for k in range(12)] + [(3, 50.0, 9), (1, 51.0, 9)]
+    tables = kneser_ney.Tables(types.SimpleNamespace(values=spark.createDataFrame(rows, "key bigint, value float, n bigint"), unknown=0.0))
+    assert sorted(r["value"] for r in tables.rest.collect()) == [9.0, 10.0, 11.0, 12.0]
+    hit, value = kneser_ney.look_up(tables.keys, tables.values, np.array([r[0] for r in rows] + [2, 1024]))
+    assert hit.tolist() == [True] * 8 + [False] * 4 + [True, True, False, False]
+    assert value.tolist() == [*map(float, range(1, 9)), 0, 0, 0, 0, 50, 51, 0, 0]
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import glob
+    import tempfile
+
+    from fathomline.llm import common
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', tempfile.gettempdir())}/**/blockmgr-*/*/shuffle_*", recursive=True))
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    before = files()
+    settings = {k: spark.conf.get(k, None) for k in common.WRITING}
+    out = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert before and not {f for f in files() - before if f.endswith(".data")}
+    assert out.count() == 7 and {k: spark.conf.get(k, None) for k in common.WRITING} == settings
+
+
 def test_limits_cover_all_trusted_documents(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TRUSTED_DOCUMENTS", 60)
     monkeypatch.setattr(kneser_ney, "PRIOR_DOCUMENTS", 0)
