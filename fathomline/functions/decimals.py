@@ -1,4 +1,4 @@
-"""Doubles as text of fixed decimals, as C writes them: from all binary digits of the value, ties to even."""
+"""Doubles of fixed decimals: as text the way C writes it, from all binary digits and ties to even; as numbers the way the SQL rounds."""
 
 from __future__ import annotations
 
@@ -19,3 +19,12 @@ def fixed_text(value: Column, digits: int) -> Column:
         return pa.array([None if x is None else f"{x:.{digits}f}" for x in values.to_pylist()], pa.string())
 
     return text(value.cast("double"))
+
+
+def rounded_to(value: Column, digits: int) -> Column:
+    """The double rounded as the SQL's round does it: scaled by a power of ten, brought to the nearest whole number, halves away from zero.
+
+    Spark's round takes the shortest text of the value instead: 517.1203125 becomes 517.120313, and 517.120312 in the SQL.
+    """
+    whole = F.round(value * 10.0**digits)
+    return F.when(F.abs(whole) < float("inf"), whole / 10.0**digits).otherwise(value)

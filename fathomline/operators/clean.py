@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.geo import SEMI_MAJOR
@@ -66,16 +66,33 @@ def throttle(rows: DataFrame, least: float, by: str = "vehicle_id") -> DataFrame
     return fold_sorted(rows.select(by, "t", "seq"), by, ["t", "seq"], step, f"{by} {kinds[by]},t double,seq {kinds['seq']}")
 
 
+def _mean(x: Column) -> Column:
+    """Mean over a group of the rows' sum rounded once, so that it doesn't depend on their order; a plain average for values of 2**30 and more or not finite.
+
+    A double is dealt into whole numbers of 2**-20 and of 2**-60, which are added without error.
+    """
+    high = F.floor(x * 2.0**20)
+    low = ((x * 2.0**20 - high) * 2.0**40).cast("long")
+    small = F.abs(x) < 2.0**30
+    total = F.sum(F.when(small, high).cast("decimal(16,0)")) * F.lit(2**40) + F.sum(F.when(small, low).cast("decimal(14,0)"))
+    return F.when(F.max(F.abs(x)) < 2.0**30, total.cast("double") * 2.0**-60 / F.count(x)).otherwise(F.avg(x))
+
+
 def open_gate(fixes: DataFrame, rise: float, seconds: float = 5.0, by: str = "vehicle_id") -> DataFrame:
-    """fixes with baseline (mean altitude of the first seconds), is_open and edge ("open", "close" or null)."""
-    first = fixes.groupBy(by).agg(F.min("t").alias("t0"))
-    early = F.col("t") - F.col("t0") <= seconds + 1e-6
-    known = fixes.join(first, by)
-    base = known.where(early).groupBy(by).agg(F.avg("alt").alias("baseline"))
-    gated = known.join(base, by).withColumn("is_open", ~early & (F.col("alt") - F.col("baseline") > rise))
+    """fixes with baseline (mean altitude of the first seconds), is_open and edge ("open", "close" or null).
+
+    Altitudes often lie exactly rise above a baseline, so the baseline's sum is rounded once and a row's answer doesn't depend on how rows were split.
+    """
+    key = F.col(by).alias("_by")
+    first = fixes.groupBy(key).agg(F.min("t").alias("_t0"))
+    early = F.col("t") - F.col("_t0") <= seconds + 1e-6
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    known = fixes.join(first, same).drop("_by")
+    base = known.where(early).groupBy(key).agg(_mean(F.col("alt")).alias("baseline"))
+    gated = known.join(base, same, "left").drop("_by").withColumn("is_open", ~early & (F.col("alt") - F.col("baseline") > rise))
     was = F.coalesce(F.lag("is_open").over(Window.partitionBy(by).orderBy("t", "seq")), F.lit(False))
     edge = F.when(F.col("is_open") & ~was, "open").when(~F.col("is_open") & was, "close")
-    return gated.withColumn("edge", edge).drop("t0")
+    return gated.withColumn("edge", edge).drop("_t0")
 
 
 def sessions(rows: DataFrame, gap: float, by: str = "vehicle_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo, vision
+from fathomline.functions.decimals import rounded_to
 from fathomline.functions.geo import Geo
 from fathomline.operators import frames, matching, raster
 from fathomline.plans.q_tracks import rounded
@@ -63,7 +64,7 @@ def g4_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g5_floor_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).withColumn("len", F.round(F.hypot("ru", "rv"), 9))
+    p = points(spark, sf_dir).withColumn("len", rounded_to(F.hypot("ru", "rv"), 9))
     return rounded(frames.quantiles(p, "len", 0.9))
 
 
@@ -130,7 +131,7 @@ def a26_axis_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["pred_x", "pred_y", "pred_z", "meas_x", "meas_y", "meas_z"]
     out = results(spark, sf_dir).select("frame_id", *[c.alias(n) for n, c in zip(names, [*predicted, *chosen], strict=True)])
     # relative digits: the altitude model spans many magnitudes
-    return out.select("frame_id", *[F.when(F.col(n).isNotNull(), F.format_string("%.6e", n)).alias(n) if n.endswith("z") else (F.round(n, 6) + 0.0).alias(n) for n in names])
+    return out.select("frame_id", *[F.when(F.col(n).isNotNull(), F.format_string("%.6e", n)).alias(n) if n.endswith("z") else (rounded_to(F.col(n), 6) + 0.0).alias(n) for n in names])
 
 
 def _trend_sql(trend: tuple, clip: tuple) -> str:
@@ -182,7 +183,7 @@ def a5_ecef_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir, "view")
     p = geo.to_ecef(_own(s))
     back = geo.from_ecef(p)
-    return rounded(s.select("seq", p.x.alias("x"), p.y.alias("y"), p.z.alias("z"), F.round(back.lon, 8).alias("lon"), F.round(back.lat, 8).alias("lat"), F.round(back.alt, 3).alias("alt")), 4)
+    return rounded(s.select("seq", p.x.alias("x"), p.y.alias("y"), p.z.alias("z"), rounded_to(back.lon, 8).alias("lon"), rounded_to(back.lat, 8).alias("lat"), rounded_to(back.alt, 3).alias("alt")), 4)
 
 
 _A5 = f"""WITH {SAMPLES_SQL}, f AS (SELECT *, 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM samples WHERE kind = 'view'),
@@ -195,7 +196,7 @@ def a10_shift_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point moved by metres, and the distance it then has."""
     s = samples(spark, sf_dir, "view")
     moved = geo.shift(_own(s), geo.Enu(F.lit(30.0), F.lit(40.0), F.lit(5.0)))
-    return s.select("seq", F.round(geo.horizontal_distance(_own(s), moved), 3).alias("metres"), F.round(moved.alt - F.col("alt"), 6).alias("climb"))
+    return s.select("seq", rounded_to(geo.horizontal_distance(_own(s), moved), 3).alias("metres"), rounded_to(moved.alt - F.col("alt"), 6).alias("climb"))
 
 
 def a13_sphere_error(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.angles import compass_of, lerp_angle
+from fathomline.functions.decimals import rounded_to
 from fathomline.operators import asof, clean, evaluate, heading
 from fathomline.sources.tables import SAMPLES_SQL, samples
 
@@ -17,7 +18,7 @@ THRESHOLDS = [10.0, 30.0, 50.0, 80.0, 100.0]
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; -0.0 becomes 0.0."""
-    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[(rounded_to(F.col(c), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +195,7 @@ SELECT vehicle_id, {STATS_SQL.format(x="h")} FROM late GROUP BY 1"""
 
 def w1_sliding_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = heading.velocity(samples(spark, sf_dir, "view"), 15)
-    return out.select("vehicle_id", "seq", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("v_east", "v_north")], (F.round("rms", 2) + 0.0).alias("rms"))
+    return out.select("vehicle_id", "seq", "n", *[(rounded_to(F.col(c), 5) + 0.0).alias(c) for c in ("v_east", "v_north")], (rounded_to(F.col("rms"), 2) + 0.0).alias("rms"))
 
 
 #: The window as the reference text has it: metres of every point from the window's first point.
@@ -214,7 +215,7 @@ MIN_SPEED, MAX_RMS = 0.01, 60.0
 
 def w3_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = heading.headings(samples(spark, sf_dir, "view"), 15, MIN_SPEED, MAX_RMS)
-    return out.select("vehicle_id", "seq", "valid", (F.round("heading", 4) + 0.0).alias("heading"))
+    return out.select("vehicle_id", "seq", "valid", (rounded_to(F.col("heading"), 4) + 0.0).alias("heading"))
 
 
 _W3 = f"""WITH {_FIT}, g AS (SELECT *, coalesce(sqrt(v_east * v_east + v_north * v_north) >= {MIN_SPEED} AND rms <= {MAX_RMS}, false) AS valid, atan2(v_north, v_east) AS psi FROM fit),
